@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.config import TrainingConfig
-from corpusprep.operators.index import shuffle_order
+from corpusprep.operators.index import int_div, shuffle_order
 
 
 def epoch_positions(
@@ -29,7 +29,7 @@ def batch_plan(positions: DataFrame, cfg: TrainingConfig) -> DataFrame:
     others = [c for c in positions.columns if c != "at"]
     return positions.select(
         *others,
-        F.floor(F.col("at") / cfg.batch_size).alias("batch_no"),
+        int_div(F.col("at"), cfg.batch_size).alias("batch_no"),
         (F.col("at") % cfg.batch_size).alias("pos"),
     )
 
@@ -41,8 +41,8 @@ def step_plan(plan: DataFrame, cfg: TrainingConfig, by: tuple[str, ...] = ()) ->
     step takes what is left, and steps count on over the epochs.
     """
     sizes = plan.groupBy(*by).agg(F.max("batch_no").alias("_last"))
-    per_epoch = F.floor(F.col("_last") / cfg.accumulate_batches) + 1
-    step = F.col("epoch") * per_epoch + F.floor(F.col("batch_no") / cfg.accumulate_batches)
+    per_epoch = int_div(F.col("_last"), cfg.accumulate_batches) + 1
+    step = F.col("epoch") * per_epoch + int_div(F.col("batch_no"), cfg.accumulate_batches)
     # One row of sizes per ``by`` group.
     if by:
         sized = plan.join(F.broadcast(sizes), list(by))

@@ -132,5 +132,5 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
 
 
 def explode_features(rows: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
-    """One row per position of parallel arrays."""
+    """One row per position of parallel array columns, each named as its array."""
     return rows.select(*keep, F.inline(F.arrays_zip(*names)))

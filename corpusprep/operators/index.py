@@ -14,6 +14,11 @@ MAX_BUCKET_BITS = 16
 RANGE_BUCKETS = 256
 
 
+def int_div(a: Column, b: Column | int) -> Column:
+    """Integer quotient, exact for every bigint."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -82,7 +87,7 @@ def feed_batches(stories: DataFrame, batch_size: int, key: str = "story_id") ->
     indexed = row_index(stories, key, "_index")
     return indexed.select(
         *stories.columns,
-        F.floor(F.col("_index") / batch_size).alias("batch_no"),
+        int_div(F.col("_index"), batch_size).alias("batch_no"),
         (F.col("_index") % batch_size).alias("pos"),
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.config import PackConfig
-from corpusprep.operators.index import MAX_BUCKET_BITS, running_total, shuffle_order
+from corpusprep.operators.index import MAX_BUCKET_BITS, int_div, running_total, shuffle_order
 
 SEGMENT_ROWS = 4096
 
@@ -30,7 +30,9 @@ def pack_groups(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) ->
         chunks.where(F.col("length") > 0), ["story_id", "chunk_no"], cfg.seed, by=by, total="_n"
     )
     if cfg.group_mode == "rows_per_group":
-        groups = F.greatest(F.lit(1), F.ceil(F.col("_n") / cfg.num_workers)).cast("bigint")
+        groups = F.greatest(
+            F.lit(1), int_div(F.col("_n") + (cfg.num_workers - 1), cfg.num_workers)
+        ).cast("bigint")
     elif cfg.group_mode == "n_groups":
         groups = F.lit(cfg.num_workers).cast("bigint")
     else:
@@ -38,7 +40,7 @@ def pack_groups(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) ->
     return (
         ordered.withColumn("groups", groups)
         .withColumn("group_id", F.col("idx") % F.col("groups"))
-        .withColumn("rank", F.floor(F.col("idx") / F.col("groups")))
+        .withColumn("rank", int_div(F.col("idx"), F.col("groups")))
         .drop("_n")
     )
 
@@ -56,7 +58,7 @@ def token_offsets(groups: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ())
         groups,
         F.col("length"),
         "start",
-        F.floor(F.col("rank") / SEGMENT_ROWS),
+        int_div(F.col("rank"), SEGMENT_ROWS),
         ["rank"],
         tuple(keys),
         total="group_tokens",
@@ -64,18 +66,14 @@ def token_offsets(groups: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ())
     )
 
 
-def _div(a: Column, b: int) -> Column:
-    return F.floor(a / b).cast("bigint")
-
-
 def first_block_ids(groups: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) -> DataFrame:
     """``(*by, group_id, first_block)``: the blocks in all earlier groups."""
     sizes = groups.groupBy(*by, "group_id").agg(
-        _div(F.sum("length"), cfg.context_length).alias("blocks"),
+        int_div(F.sum("length"), cfg.context_length).alias("blocks"),
         F.first("groups").alias("groups"),
     )
     buckets = 2**MAX_BUCKET_BITS
-    bucket = F.floor(F.col("group_id") * buckets / F.col("groups"))
+    bucket = int_div(F.col("group_id") * buckets, F.col("groups"))
     return running_total(
         sizes, F.col("blocks"), "first_block", bucket, ["group_id"], by
     ).select(*by, "group_id", "first_block")
@@ -91,14 +89,14 @@ def pack_blocks(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) ->
     groups = pack_groups(chunks, cfg, by)
     placed = token_offsets(groups, cfg, by)
     end = F.col("start") + F.col("length")
-    last = F.least(_div(end - 1, length), _div(F.col("group_tokens"), length) - 1)
-    touched = placed.where(_div(F.col("start"), length) <= last).select(
+    last = F.least(int_div(end - 1, length), int_div(F.col("group_tokens"), length) - 1)
+    touched = placed.where(int_div(F.col("start"), length) <= last).select(
         *by,
         "group_id",
         "start",
         "length",
         "input_ids",
-        F.explode(F.sequence(_div(F.col("start"), length), last)).alias("block_no"),
+        F.explode(F.sequence(int_div(F.col("start"), length), last)).alias("block_no"),
     )
     low = F.greatest(F.col("start"), F.col("block_no") * length)
     high = F.least(end, (F.col("block_no") + 1) * length)
@@ -138,10 +136,10 @@ def packing_yield(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ())
     """Tokens that go in, stay in full blocks and are dropped at group ends."""
     groups = pack_groups(chunks.select(*by, "story_id", "chunk_no", "length"), cfg, by)
     tokens = groups.groupBy(*by, "group_id").agg(F.sum("length").alias("tokens"))
-    kept = _div(F.col("tokens"), cfg.context_length) * cfg.context_length
+    kept = int_div(F.col("tokens"), cfg.context_length) * cfg.context_length
     return tokens.groupBy(*by).agg(
         F.sum("tokens").alias("tokens_in"),
         F.sum(kept).alias("tokens_kept"),
         F.sum(F.col("tokens") - kept).alias("tokens_dropped"),
-        F.sum(_div(F.col("tokens"), cfg.context_length)).alias("blocks"),
+        F.sum(int_div(F.col("tokens"), cfg.context_length)).alias("blocks"),
     )
