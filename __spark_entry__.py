@@ -57,8 +57,14 @@ def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length)
 
 
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks as a written table, since packing scans them several times."""
+    chunks = byte_chunks(spark, sf_dir).select("story_id", "chunk_no", "length", "input_ids")
+    return spread(materialize(chunks, "chunks"))
+
+
 def byte_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack_blocks(byte_chunks(spark, sf_dir), PACK)
+    return pack.pack_blocks(chunk_table(spark, sf_dir), PACK)
 
 
 # Corpus selection
@@ -172,8 +178,7 @@ def bpe_pair_counts(spark, sf_dir):
 
 
 def trained(spark, sf_dir) -> Tokenizer:
-    counts = materialize(word_counts(spark, sf_dir), "word-counts")
-    return bpe.train(counts, Q.vocab_size)
+    return bpe.train(word_counts(spark, sf_dir), Q.vocab_size)
 
 
 def bpe_merges(spark, sf_dir):
@@ -264,7 +269,7 @@ def pack_blocks(spark, sf_dir):
 
 def pack_blocks_n_groups(spark, sf_dir):
     cfg = PackConfig(seed=Q.seed, group_mode="n_groups")
-    return block_rows(pack.pack_blocks(byte_chunks(spark, sf_dir), cfg))
+    return block_rows(pack.pack_blocks(chunk_table(spark, sf_dir), cfg))
 
 
 def packing_yield(spark, sf_dir):
@@ -309,7 +314,7 @@ def corpus_to_blocks(spark, sf_dir):
     chosen = materialize(corpus.select_stories(raw(spark, sf_dir), CORPUS), "stories")
     rows = corpus.story_records(chosen, CORPUS)
     texts = rows.where(F.col("split") == "train").select("text")
-    tokenizer = bpe.train(materialize(bpe.word_counts(texts), "word-counts"), Q.vocab_size)
+    tokenizer = bpe.train(bpe.word_counts(texts), Q.vocab_size)
     chunks = tokens.tokenized_chunks(spread(rows), tokenizer, PACK.context_length)
     chunks = materialize(chunks, "chunks")
     return pack.packing_yield(chunks, PACK, by=("split",))

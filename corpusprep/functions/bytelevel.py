@@ -52,6 +52,5 @@ def byte_symbols(word: Column) -> Column:
 
 def symbol_ids(symbols: Column) -> Column:
     """A string of symbols as an array of token ids."""
-    return F.when(symbols == "", F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.split(symbols, ""), lambda s: (F.ascii(s) - SYMBOL_BASE).cast("bigint"))
-    )
+    letters = F.filter(F.split(symbols, ""), lambda s: s != "")
+    return F.transform(letters, lambda s: (F.ascii(s) - SYMBOL_BASE).cast("bigint"))

@@ -40,16 +40,14 @@ def step_plan(plan: DataFrame, cfg: TrainingConfig, by: tuple[str, ...] = ()) ->
     Gradients of ``accumulate_batches`` minibatches make a step; an epoch's last
     step takes what is left, and steps count on over the epochs.
     """
-    sizes = plan.groupBy(*by).agg(F.max("batch_no").alias("_last"))
+    keys = [*by, "epoch"]
+    sizes = plan.groupBy(*keys).agg(F.max("batch_no").alias("_last"))
     per_epoch = int_div(F.col("_last"), cfg.accumulate_batches) + 1
     step = F.col("epoch") * per_epoch + int_div(F.col("batch_no"), cfg.accumulate_batches)
-    # One row of sizes per ``by`` group.
-    if by:
-        sized = plan.join(F.broadcast(sizes), list(by))
-    else:
-        sized = plan.withColumn("_last", F.lit(sizes.first()["_last"]))
+    # One row of sizes per epoch and ``by`` group.
     return (
-        sized.withColumn("optimizer_step", step.cast("bigint"))
+        plan.join(F.broadcast(sizes), keys)
+        .withColumn("optimizer_step", step.cast("bigint"))
         .where(F.col("optimizer_step") < cfg.max_steps)
         .drop("_last")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKET_BITS = 16
+MAX_BUCKET_BITS = 18
 RANGE_BUCKETS = 256
 
 
@@ -120,7 +120,7 @@ def shuffle_order(
     shares of the rows whatever the ids look like.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(MAX_BUCKET_BITS, max(6, (4 * partitions - 1).bit_length()))
+    bits = min(MAX_BUCKET_BITS, max(6, (16 * partitions - 1).bit_length()))
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     leading = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint")
     keyed = df.withColumn("_key", shuffle_key(seed, ids))

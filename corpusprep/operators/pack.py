@@ -87,12 +87,16 @@ def pack_blocks(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) ->
     """
     length = cfg.context_length
     groups = pack_groups(chunks, cfg, by)
-    placed = token_offsets(groups, cfg, by)
+    # Joined before the cut: both sides are then sorted by group already.
+    placed = token_offsets(groups, cfg, by).join(
+        first_block_ids(groups, cfg, by), [*by, "group_id"]
+    )
     end = F.col("start") + F.col("length")
     last = F.least(int_div(end - 1, length), int_div(F.col("group_tokens"), length) - 1)
     touched = placed.where(int_div(F.col("start"), length) <= last).select(
         *by,
         "group_id",
+        "first_block",
         "start",
         "length",
         "input_ids",
@@ -104,15 +108,18 @@ def pack_blocks(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) ->
         "input_ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
     )
     pieces = touched.select(
-        *by, "group_id", "block_no", F.struct(low.alias("at"), piece.alias("ids")).alias("piece")
+        *by,
+        "group_id",
+        "first_block",
+        "block_no",
+        F.struct(low.alias("at"), piece.alias("ids")).alias("piece"),
     )
-    blocks = pieces.groupBy(*by, "group_id", "block_no").agg(
+    blocks = pieces.groupBy(*by, "group_id", "first_block", "block_no").agg(
         F.flatten(
             F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])
         ).alias("input_ids")
     )
-    numbered = blocks.join(first_block_ids(groups, cfg, by), [*by, "group_id"])
-    packed = numbered.select(
+    packed = blocks.select(
         *by,
         (F.col("first_block") + F.col("block_no")).alias("block_id"),
         "group_id",

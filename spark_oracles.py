@@ -99,7 +99,7 @@ all_words AS (
   SELECT word, coalesce(max(freq), 0) AS freq
   FROM (SELECT word, freq FROM word_counts UNION ALL SELECT DISTINCT word, 0 FROM story_words)
   GROUP BY word),
-rounds AS (
+rounds AS MATERIALIZED (
   SELECT 0 AS step, word, freq, {symbols} AS symbols, '' AS pair, 0::HUGEINT AS pair_freq
   FROM all_words
   UNION ALL
@@ -111,7 +111,7 @@ rounds AS (
           FROM rounds)
     GROUP BY pair ORDER BY n DESC, pair LIMIT 1) best
   WHERE r.step < {_ROUNDS}),
-merges AS (
+merges AS MATERIALIZED (
   SELECT DISTINCT step - 1 AS rank, ord(substr(pair, 1, 1)) - 4096 AS left_id,
          ord(substr(pair, 2, 1)) - 4096 AS right_id, 4352 + step - 4096 AS new_id,
          pair_freq AS freq
