@@ -1,17 +1,17 @@
 """Learning a byte-level BPE vocabulary from distributed word counts.
 
-The word table never leaves the executors. Each round is one Spark job: it
-counts neighbouring symbols in the words and returns a short list of the most
-frequent pairs, from which the driver accepts as many merges as provably equal
-merging one pair at a time.
+The word table never leaves the executors. Each round counts neighbouring
+symbols over all words, reduces the words to the short runs in which the next
+merges must happen, and rewrites the table with the merges found. The result
+equals merging the most frequent pair again and again.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from corpusprep.functions.bytelevel import (
     BYTE_OF_ID,
     EOS_ID,
     MAX_TOKENS,
-    WORD_BREAK,
+    SYMBOL_BASE,
     byte_symbols,
     symbol,
     token_id,
@@ -29,10 +29,10 @@ from corpusprep.functions.normalize import nfkc
 from corpusprep.functions.pretokenize import words
 from corpusprep.sources.scratch import drop_scratch, write_scratch
 
-# Pairs the driver looks at per round, and merges held as a pending rewrite
-# before the word table is written again. Neither changes the result.
-CANDIDATES = 256
-REWRITE_AFTER = 32
+# Bounds on what the driver receives per round. None of them changes the result.
+FIRST_HOT_PAIRS = 32
+MAX_HOT_PAIRS = 512
+MAX_RUNS = 50_000
 
 
 class Merge(NamedTuple):
@@ -87,80 +87,120 @@ def apply_merges(symbols: Column, merges: list[Merge] | tuple[Merge, ...]) -> Co
     )
 
 
-def pair_context_counts(table: DataFrame) -> DataFrame:
-    """``(pair, freq, widest)`` for all neighbouring symbols.
-
-    ``widest`` is the frequency of the commonest three symbols that extend the
-    pair by one neighbour, so no pair formed by merging it can be more frequent.
-    """
-    padded = F.concat(F.lit(WORD_BREAK), F.col("symbols"), F.lit(WORD_BREAK))
-    triples = (
-        table.select(
-            F.explode(F.regexp_extract_all(padded, F.lit(r"(?s)(?=(...))"), F.lit(1))).alias("t"),
-            "freq",
-        )
-        .groupBy("t")
-        .agg(F.sum("freq").alias("n"))
-    )
-    first, last, n = F.substring("t", 1, 1), F.substring("t", 3, 1), F.col("n")
-    none = F.lit(0).cast("bigint")
-    roles = F.array(
-        F.struct(
-            F.substring("t", 2, 2).alias("pair"),
-            n.alias("freq"),
-            F.when(first != WORD_BREAK, n).otherwise(none).alias("wider"),
-        ),
-        F.struct(
-            F.substring("t", 1, 2).alias("pair"),
-            none.alias("freq"),
-            F.when(last != WORD_BREAK, n).otherwise(none).alias("wider"),
-        ),
-    )
+def symbol_pairs(table: DataFrame) -> DataFrame:
+    """``(pair, freq)`` of all neighbouring symbols."""
+    pairs = F.regexp_extract_all("symbols", F.lit(r"(?s)(?=(..))"), F.lit(1))
     return (
-        triples.select(F.inline(roles))
-        .where(~F.col("pair").contains(WORD_BREAK))
+        table.select(F.explode(pairs).alias("pair"), "freq")
         .groupBy("pair")
-        .agg(F.sum("freq").alias("freq"), F.max("wider").alias("widest"))
+        .agg(F.sum("freq").alias("freq"))
     )
 
 
 def pair_counts(table: DataFrame) -> DataFrame:
     """``(left_id, right_id, freq)`` of all neighbouring symbols."""
-    base = F.lit(token_id("\x00"))
-    return pair_context_counts(table).select(
-        (F.ascii(F.substring("pair", 1, 1)) + base).cast("bigint").alias("left_id"),
-        (F.ascii(F.substring("pair", 2, 1)) + base).cast("bigint").alias("right_id"),
-        "freq",
+
+    def id_at(place: int) -> Column:
+        return (F.ascii(F.substring("pair", place, 1)) - SYMBOL_BASE).cast("bigint")
+
+    return symbol_pairs(table).select(
+        id_at(1).alias("left_id"), id_at(2).alias("right_id"), "freq"
+    )
+
+
+def hot_runs(table: DataFrame, hot: list[str]) -> DataFrame:
+    """``(run, freq)``: the words cut wherever two neighbours are no hot pair."""
+    rights: dict[str, str] = {}
+    for left, right in hot:
+        rights[left] = rights.get(left, "") + right
+    any_hot = "|".join(f"{left}[{right}]" for left, right in rights.items())
+    runs = F.regexp_extract_all("symbols", F.lit(f"(?s)(?:(?={any_hot}).)+."), F.lit(0))
+    return (
+        table.select(F.explode(runs).alias("run"), "freq")
+        .groupBy("run")
+        .agg(F.sum("freq").alias("freq"))
     )
 
 
-def accept_merges(candidates, tokens: dict[bytes, int], names: list[bytes], room: int) -> list[Merge]:
-    """The longest safe run of merges from candidates in (freq desc, ids) order.
+def merge_runs(
+    runs: list[tuple[str, int]], floor: int, tokens: dict[bytes, int], names: list[bytes], room: int
+) -> list[Merge]:
+    """Merge pairs of the runs, most frequent first, while one exceeds ``floor``.
 
-    A later pair is taken only if it shares no symbol that an accepted merge
-    consumes on that side and is more frequent than any pair the accepted
-    merges can form; otherwise the next round decides with fresh counts.
-    ``tokens`` and ``names`` are extended with the new tokens.
+    ``tokens`` and ``names`` are extended by at most ``room`` new tokens. A merge
+    that gives a token there was before ends the list: that token also stands
+    outside the runs.
     """
-    accepted: list[Merge] = []
-    ceiling, lefts, rights = 0, set(), set()
-    for pair, freq, widest in candidates:
-        left, right = token_id(pair[0]), token_id(pair[1])
-        name = names[left] + names[right]
-        alone = left == right or name in tokens
-        if accepted and (alone or freq <= ceiling or left in rights or right in lefts):
+    texts = [run for run, _ in runs]
+    weights = [freq for _, freq in runs]
+    counts: Counter[str] = Counter()
+    where: dict[str, set[int]] = defaultdict(set)
+
+    def count(i: int, sign: int) -> None:
+        for pair in map("".join, zip(texts[i], texts[i][1:])):
+            counts[pair] += sign * weights[i]
+            where[pair].add(i)
+
+    for i in range(len(texts)):
+        count(i, 1)
+    merges: list[Merge] = []
+    while counts and room > 0:
+        pair = min(counts, key=lambda p: (-counts[p], p))
+        if counts[pair] <= floor:
             break
-        if name not in tokens:
+        left, right = map(token_id, pair)
+        name = names[left] + names[right]
+        known = name in tokens
+        if not known:
             tokens[name] = len(names)
             names.append(name)
             room -= 1
-        accepted.append(Merge(left, right, tokens[name], freq))
-        if alone or room == 0:
+        merges.append(Merge(left, right, tokens[name], counts[pair]))
+        if known:
             break
-        ceiling = max(ceiling, widest)
-        lefts.add(left)
-        rights.add(right)
-    return accepted
+        for i in where.pop(pair):
+            count(i, -1)
+            texts[i] = texts[i].replace(pair, symbol(tokens[name]))
+            count(i, 1)
+        counts = Counter({p: n for p, n in counts.items() if n > 0})
+    return merges
+
+
+def next_merges(
+    table: DataFrame, hot_pairs: int, tokens: dict[bytes, int], names: list[bytes], room: int
+) -> tuple[list[Merge], int]:
+    """The next merges in exact order, and how many hot pairs to try next time.
+
+    Pairs above a frequency ``floor`` are hot. Joining symbols never makes a
+    pair more frequent than the two symbols that meet in it were, so every
+    merge above the floor happens inside a run of hot pairs. The runs, counted
+    over all words, are all the driver needs; it asks for fewer hot pairs until
+    they are few.
+    """
+    top = (
+        symbol_pairs(table)
+        .orderBy(F.desc("freq"), F.asc("pair"))
+        .limit(hot_pairs + 1)
+        .collect()
+    )
+    while hot_pairs > 1 and top:
+        floor = top[hot_pairs]["freq"] if len(top) > hot_pairs else 0
+        hot = [row["pair"] for row in top[:hot_pairs] if row["freq"] > floor]
+        if hot:
+            runs = hot_runs(table, hot).persist()
+            size = runs.agg(
+                F.count(F.lit(1)).alias("runs"), F.sum(F.length("run")).alias("symbols")
+            ).first()
+            if size["runs"] <= MAX_RUNS and size["symbols"] <= 16 * MAX_RUNS:
+                merges = merge_runs([tuple(r) for r in runs.collect()], floor, tokens, names, room)
+                runs.unpersist()
+                roomy = size["runs"] <= MAX_RUNS // 4
+                return merges, min(MAX_HOT_PAIRS, 2 * hot_pairs) if roomy else hot_pairs
+            runs.unpersist()
+        hot_pairs //= 2
+    # The first pair alone is always right.
+    first = [(row["pair"], row["freq"]) for row in top[:1]]
+    return merge_runs(first, 0, tokens, names, min(room, 1)), 2
 
 
 def train(counts: DataFrame, vocab_size: int, eos: str = EOS) -> Tokenizer:
@@ -175,35 +215,25 @@ def train(counts: DataFrame, vocab_size: int, eos: str = EOS) -> Tokenizer:
     names = Tokenizer(eos=eos).token_bytes()
     tokens = {name: i for i, name in enumerate(names)}
     merges: list[Merge] = []
-    pending: list[Merge] = []
-    path, table = None, symbol_words(counts)
+    batch: list[Merge] = []
+    path, table, hot_pairs = None, symbol_words(counts), FIRST_HOT_PAIRS
     while len(names) < vocab_size:
-        if path is None or len(pending) >= REWRITE_AFTER:
-            rewritten = table.select(apply_merges(F.col("symbols"), pending).alias("symbols"), "freq")
-            left = rewritten.where(F.length("symbols") > 1).repartition(cores)
-            new_path = write_scratch(left, "bpe-words")
-            if path is not None:
-                table.unpersist()
-                drop_scratch(spark, path)
-            path, pending = new_path, []
-            table = spark.read.schema(rewritten.schema).parquet(path)
-            table.persist(StorageLevel.MEMORY_AND_DISK)
-        current = table.select(apply_merges(F.col("symbols"), pending).alias("symbols"), "freq")
-        top = (
-            pair_context_counts(current)
-            .orderBy(F.desc("freq"), F.asc("pair"))
-            .limit(CANDIDATES)
-            .collect()
+        merged = table.select(apply_merges(F.col("symbols"), batch).alias("symbols"), "freq")
+        left = merged.where(F.length("symbols") > 1)
+        new_path = write_scratch(left if path else left.repartition(cores), "bpe-words")
+        if path:
+            drop_scratch(spark, path)
+        path = new_path
+        table = spark.read.schema(merged.schema).parquet(path)
+        batch, hot_pairs = next_merges(
+            table, hot_pairs, tokens, names, vocab_size - len(names)
         )
-        if not top:
+        if not batch:
             break
-        batch = accept_merges(top, tokens, names, vocab_size - len(names))
-        pending += batch
         # A pair can only come up again through a reused token; its first rank counts.
         known = {m[:2] for m in merges}
         merges += [m for m in batch if m[:2] not in known]
-    if path is not None:
-        table.unpersist()
+    if path:
         drop_scratch(spark, path)
     return Tokenizer(tuple(merges), eos)
 

@@ -21,7 +21,7 @@ from corpusprep.operators.bpe import Tokenizer, apply_merges
 
 # Up to this many merges the whole text is rewritten by JVM string functions;
 # above it, words are looked up in a per-task cache.
-NATIVE_MERGES = 128
+NATIVE_MERGES = 32
 CACHED_WORDS = 500_000
 
 
@@ -50,11 +50,9 @@ def cached_word_ids(tokenizer: Tokenizer):
     Its closure holds the merges, whose number ``vocab_size`` bounds, and the
     cache is emptied when full. Nothing is sent between tasks.
     """
-    new_symbol, rank = {}, {}
-    for m in tokenizer.merges:
-        pair = symbol(m.left_id) + symbol(m.right_id)
-        new_symbol[pair] = symbol(m.new_id)
-        rank[pair] = len(rank)
+    pairs = [symbol(m.left_id) + symbol(m.right_id) for m in tokenizer.merges]
+    joined = [symbol(m.new_id) for m in tokenizer.merges]
+    rank = {pair: i for i, pair in enumerate(pairs)}
     unknown = len(rank)
     # With reused tokens a merge can bring back an earlier pair, so order matters.
     at_once = 1 if tokenizer.reuses_tokens() else -1
@@ -70,19 +68,18 @@ def cached_word_ids(tokenizer: Tokenizer):
         def merge(word: str) -> str:
             merged = word
             while len(merged) > 1:
-                pairs = {merged[i : i + 2] for i in range(len(merged) - 1)}
-                best = min(pairs, key=lambda p: rank.get(p, unknown))
-                if best not in rank:
+                first = min([rank.get(a + b, unknown) for a, b in zip(merged, merged[1:])])
+                if first == unknown:
                     break
-                merged = merged.replace(best, new_symbol[best], at_once)
+                merged = merged.replace(pairs[first], joined[first], at_once)
             if len(cache) >= limit:
                 cache.clear()
             cache[word] = merged
             return merged
 
         def ids(text: str):
-            joined = "".join([cache.get(w) or merge(w) for w in text.split(word_break) if w])
-            units = np.frombuffer(joined.encode("utf-16-le"), dtype="<u2")
+            done = "".join([cache.get(w) or merge(w) for w in text.split(word_break) if w])
+            units = np.frombuffer(done.encode("utf-16-le"), dtype="<u2")
             return units.astype(np.int64) - base
 
         for batch in batches:
