@@ -9,9 +9,12 @@ equals merging the most frequent pair again and again.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from corpusprep.functions.bytelevel import (
     EOS_ID,
     MAX_TOKENS,
     SYMBOL_BASE,
+    WORD_BREAK,
     byte_symbols,
     symbol,
     token_id,
@@ -34,6 +38,11 @@ FIRST_HOT_PAIRS = 32
 MAX_HOT_PAIRS = 512
 MAX_RUNS = 50_000
 
+# Up to this many merges strings are rewritten by JVM functions, one pass per
+# merge; above it, words are looked up in a per-task cache.
+NATIVE_MERGES = 32
+CACHED_WORDS = 500_000
+
 
 class Merge(NamedTuple):
     left_id: int
@@ -75,10 +84,16 @@ def symbol_words(counts: DataFrame) -> DataFrame:
     return counts.select(byte_symbols(F.col("word")).alias("symbols"), "freq")
 
 
-def apply_merges(symbols: Column, merges: list[Merge] | tuple[Merge, ...]) -> Column:
-    """Join each merge's pair everywhere in the string, in merge order."""
+def apply_merges(symbols: Column, merges: Sequence[Merge], reused: bool = False) -> Column:
+    """Join the merges' pairs in strings of symbols, words apart by word breaks.
+
+    The merge listed first goes first wherever several apply. ``reused`` says
+    that merges may give tokens that earlier merges use.
+    """
     if not merges:
         return symbols
+    if len(merges) > NATIVE_MERGES or reused:
+        return merge_words(merges, reused)(symbols)
     steps = F.lit([symbol(m.left_id) + symbol(m.right_id) + symbol(m.new_id) for m in merges])
     return F.aggregate(
         steps,
@@ -87,6 +102,45 @@ def apply_merges(symbols: Column, merges: list[Merge] | tuple[Merge, ...]) -> Co
     )
 
 
+def merge_words(merges: Sequence[Merge], reused: bool):
+    """UDF on strings of symbols that merges each distinct word of a task once.
+
+    Its closure holds the merges, whose number ``vocab_size`` bounds, and the
+    cache is emptied when full. Nothing is sent between tasks.
+    """
+    pairs = [symbol(m.left_id) + symbol(m.right_id) for m in merges]
+    joined = [symbol(m.new_id) for m in merges]
+    rank = {pair: i for i, pair in enumerate(pairs)}
+    unknown = len(rank)
+    # A reused token can bring back an earlier pair, so places go one by one.
+    places = 1 if reused else -1
+    word_break, limit = WORD_BREAK, CACHED_WORDS
+
+    @F.pandas_udf("string")
+    def merged_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict[str, str] = {}
+
+        def merge(word: str) -> str:
+            merged = word
+            while len(merged) > 1:
+                first = min([rank.get(a + b, unknown) for a, b in zip(merged, merged[1:])])
+                if first == unknown:
+                    break
+                merged = merged.replace(pairs[first], joined[first], places)
+            if len(cache) >= limit:
+                cache.clear()
+            cache[word] = merged
+            return merged
+
+        def merge_all(text: str) -> str:
+            return word_break.join([cache.get(w) or merge(w) for w in text.split(word_break)])
+
+        for batch in batches:
+            yield batch.map(merge_all, na_action="ignore")
+
+    return merged_words
+
+
 def symbol_pairs(table: DataFrame) -> DataFrame:
     """``(pair, freq)`` of all neighbouring symbols."""
     pairs = F.regexp_extract_all("symbols", F.lit(r"(?s)(?=(..))"), F.lit(1))
@@ -123,31 +177,44 @@ def hot_runs(table: DataFrame, hot: list[str]) -> DataFrame:
 
 
 def merge_runs(
-    runs: list[tuple[str, int]], floor: int, tokens: dict[bytes, int], names: list[bytes], room: int
+    runs: list[tuple[str, int]],
+    bound: tuple[int, str],
+    tokens: dict[bytes, int],
+    names: list[bytes],
+    room: int,
 ) -> list[Merge]:
-    """Merge pairs of the runs, most frequent first, while one exceeds ``floor``.
+    """Merge pairs of the runs in order, as long as they come before ``bound``.
 
-    ``tokens`` and ``names`` are extended by at most ``room`` new tokens. A merge
-    that gives a token there was before ends the list: that token also stands
-    outside the runs.
+    Pairs are ordered by ``(-freq, pair)``. ``tokens`` and ``names`` are extended
+    by at most ``room`` new tokens. A merge that gives a token there was before
+    ends the list, since that token also stands outside the runs.
     """
     texts = [run for run, _ in runs]
     weights = [freq for _, freq in runs]
     counts: Counter[str] = Counter()
     where: dict[str, set[int]] = defaultdict(set)
+    changed: set[str] = set()
 
     def count(i: int, sign: int) -> None:
         for pair in map("".join, zip(texts[i], texts[i][1:])):
             counts[pair] += sign * weights[i]
             where[pair].add(i)
+            changed.add(pair)
 
     for i in range(len(texts)):
         count(i, 1)
     merges: list[Merge] = []
-    while counts and room > 0:
-        pair = min(counts, key=lambda p: (-counts[p], p))
-        if counts[pair] <= floor:
+    queue: list[tuple[int, str]] = []
+    while room > 0:
+        for pair in changed:
+            if (-counts[pair], pair) < bound:
+                heappush(queue, (-counts[pair], pair))
+        changed.clear()
+        while queue and counts[queue[0][1]] != -queue[0][0]:
+            heappop(queue)
+        if not queue:
             break
+        pair = queue[0][1]
         left, right = map(token_id, pair)
         name = names[left] + names[right]
         known = name in tokens
@@ -162,7 +229,6 @@ def merge_runs(
             count(i, -1)
             texts[i] = texts[i].replace(pair, symbol(tokens[name]))
             count(i, 1)
-        counts = Counter({p: n for p, n in counts.items() if n > 0})
     return merges
 
 
@@ -171,11 +237,11 @@ def next_merges(
 ) -> tuple[list[Merge], int]:
     """The next merges in exact order, and how many hot pairs to try next time.
 
-    Pairs above a frequency ``floor`` are hot. Joining symbols never makes a
-    pair more frequent than the two symbols that meet in it were, so every
-    merge above the floor happens inside a run of hot pairs. The runs, counted
-    over all words, are all the driver needs; it asks for fewer hot pairs until
-    they are few.
+    The first pairs by ``(-freq, pair)`` are hot and ``bound`` is the next one.
+    A pair of joined symbols is never more frequent than the two symbols that
+    meet in it were, and its ids are no smaller. So every merge before the bound
+    happens inside a run of hot pairs. The runs, counted over all words, are all
+    the driver needs; it asks for fewer hot pairs until they are few.
     """
     top = (
         symbol_pairs(table)
@@ -184,23 +250,23 @@ def next_merges(
         .collect()
     )
     while hot_pairs > 1 and top:
-        floor = top[hot_pairs]["freq"] if len(top) > hot_pairs else 0
-        hot = [row["pair"] for row in top[:hot_pairs] if row["freq"] > floor]
-        if hot:
-            runs = hot_runs(table, hot).persist()
-            size = runs.agg(
-                F.count(F.lit(1)).alias("runs"), F.sum(F.length("run")).alias("symbols")
-            ).first()
-            if size["runs"] <= MAX_RUNS and size["symbols"] <= 16 * MAX_RUNS:
-                merges = merge_runs([tuple(r) for r in runs.collect()], floor, tokens, names, room)
-                runs.unpersist()
-                roomy = size["runs"] <= MAX_RUNS // 4
-                return merges, min(MAX_HOT_PAIRS, 2 * hot_pairs) if roomy else hot_pairs
+        bound = (0, "")
+        if len(top) > hot_pairs:
+            bound = (-top[hot_pairs]["freq"], top[hot_pairs]["pair"])
+        runs = hot_runs(table, [row["pair"] for row in top[:hot_pairs]]).persist()
+        size = runs.agg(
+            F.count(F.lit(1)).alias("runs"), F.sum(F.length("run")).alias("symbols")
+        ).first()
+        if size["runs"] <= MAX_RUNS and size["symbols"] <= 16 * MAX_RUNS:
+            merges = merge_runs([tuple(r) for r in runs.collect()], bound, tokens, names, room)
             runs.unpersist()
+            roomy = size["runs"] <= MAX_RUNS // 4
+            return merges, min(MAX_HOT_PAIRS, 2 * hot_pairs) if roomy else hot_pairs
+        runs.unpersist()
         hot_pairs //= 2
     # The first pair alone is always right.
     first = [(row["pair"], row["freq"]) for row in top[:1]]
-    return merge_runs(first, 0, tokens, names, min(room, 1)), 2
+    return merge_runs(first, (0, ""), tokens, names, min(room, 1)), 2
 
 
 def train(counts: DataFrame, vocab_size: int, eos: str = EOS) -> Tokenizer:
@@ -218,7 +284,11 @@ def train(counts: DataFrame, vocab_size: int, eos: str = EOS) -> Tokenizer:
     batch: list[Merge] = []
     path, table, hot_pairs = None, symbol_words(counts), FIRST_HOT_PAIRS
     while len(names) < vocab_size:
-        merged = table.select(apply_merges(F.col("symbols"), batch).alias("symbols"), "freq")
+        # The last merge of a batch may give a token that the others use.
+        merged = table.select(
+            apply_merges(apply_merges(F.col("symbols"), batch[:-1]), batch[-1:]).alias("symbols"),
+            "freq",
+        )
         left = merged.where(F.length("symbols") > 1)
         new_path = write_scratch(left if path else left.repartition(cores), "bpe-words")
         if path:

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.functions.bytelevel import (
-    EOS_ID,
-    SYMBOL_BASE,
-    WORD_BREAK,
-    symbol,
-    symbol_ids,
-)
+from corpusprep.functions.bytelevel import EOS_ID, WORD_BREAK, symbol_ids
 from corpusprep.functions.normalize import nfkc_parts
 from corpusprep.functions.pretokenize import join_segments, segment_symbols, segments
 from corpusprep.operators.bpe import Tokenizer, apply_merges
 
-# Up to this many merges the whole text is rewritten by JVM string functions;
-# above it, words are looked up in a per-task cache.
-NATIVE_MERGES = 32
-CACHED_WORDS = 500_000
-
 
 def text_symbols(text: Column, eos: str) -> Column:
     """A text as byte symbols with word breaks; end markers become one symbol."""
@@ -36,58 +22,11 @@ def encode(
 ) -> DataFrame:
     """Replace the text column by token ids, row by row where the rows are."""
     symbols = text_symbols(F.col(text), tokenizer.eos)
-    if len(tokenizer.merges) <= NATIVE_MERGES and not tokenizer.reuses_tokens():
-        merged = apply_merges(symbols, tokenizer.merges)
-        ids = symbol_ids(F.translate(merged, WORD_BREAK, ""))
-    else:
-        ids = cached_word_ids(tokenizer)(symbols)
+    merged = apply_merges(symbols, tokenizer.merges, tokenizer.reuses_tokens())
+    ids = symbol_ids(F.translate(merged, WORD_BREAK, ""))
     return texts.withColumn(name, ids).drop(text)
 
 
-def cached_word_ids(tokenizer: Tokenizer):
-    """UDF from symbols to ids that merges each distinct word of a task once.
-
-    Its closure holds the merges, whose number ``vocab_size`` bounds, and the
-    cache is emptied when full. Nothing is sent between tasks.
-    """
-    pairs = [symbol(m.left_id) + symbol(m.right_id) for m in tokenizer.merges]
-    joined = [symbol(m.new_id) for m in tokenizer.merges]
-    rank = {pair: i for i, pair in enumerate(pairs)}
-    unknown = len(rank)
-    # With reused tokens a merge can bring back an earlier pair, so order matters.
-    at_once = 1 if tokenizer.reuses_tokens() else -1
-    base, word_break, limit = SYMBOL_BASE, WORD_BREAK, CACHED_WORDS
-
-    @F.pandas_udf("array<bigint>")
-    def word_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-        import pandas as pd
-
-        cache: dict[str, str] = {}
-
-        def merge(word: str) -> str:
-            merged = word
-            while len(merged) > 1:
-                first = min([rank.get(a + b, unknown) for a, b in zip(merged, merged[1:])])
-                if first == unknown:
-                    break
-                merged = merged.replace(pairs[first], joined[first], at_once)
-            if len(cache) >= limit:
-                cache.clear()
-            cache[word] = merged
-            return merged
-
-        def ids(text: str):
-            done = "".join([cache.get(w) or merge(w) for w in text.split(word_break) if w])
-            units = np.frombuffer(done.encode("utf-16-le"), dtype="<u2")
-            return units.astype(np.int64) - base
-
-        for batch in batches:
-            yield pd.Series([None if text is None else ids(text) for text in batch], dtype=object)
-
-    return word_ids
-
-
 def decode(
     rows: DataFrame,
     tokenizer: Tokenizer,
