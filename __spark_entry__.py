@@ -241,12 +241,12 @@ def parse_int_list_query(spark, sf_dir):
 
 
 def shuffle_order(spark, sf_dir):
-    chunks = byte_chunks(spark, sf_dir).select("story_id", "chunk_no")
+    chunks = chunk_table(spark, sf_dir).select("story_id", "chunk_no")
     return index.shuffle_order(chunks, ["story_id", "chunk_no"], Q.seed)
 
 
 def epoch_order(spark, sf_dir):
-    chunks = byte_chunks(spark, sf_dir).select("story_id", "chunk_no")
+    chunks = chunk_table(spark, sf_dir).select("story_id", "chunk_no")
     epoch = 1
     seed = pack.epoch_seed(Q.seed, epoch, reload=True, shuffle_data=True)
     ordered = index.shuffle_order(chunks, ["story_id", "chunk_no"], seed)
@@ -254,7 +254,7 @@ def epoch_order(spark, sf_dir):
 
 
 def pack_groups(spark, sf_dir):
-    chunks = byte_chunks(spark, sf_dir).select("story_id", "chunk_no", "length")
+    chunks = chunk_table(spark, sf_dir).select("story_id", "chunk_no", "length")
     groups = pack.pack_groups(chunks, PACK)
     return groups.select("story_id", "chunk_no", "idx", "group_id", "rank")
 
@@ -273,7 +273,7 @@ def pack_blocks_n_groups(spark, sf_dir):
 
 
 def packing_yield(spark, sf_dir):
-    return pack.packing_yield(byte_chunks(spark, sf_dir), PACK)
+    return pack.packing_yield(chunk_table(spark, sf_dir), PACK)
 
 
 def block_limit(spark, sf_dir):

@@ -52,5 +52,5 @@ def byte_symbols(word: Column) -> Column:
 
 def symbol_ids(symbols: Column) -> Column:
     """A string of symbols as an array of token ids."""
-    letters = F.filter(F.split(symbols, ""), lambda s: s != "")
+    letters = F.array_remove(F.split(symbols, ""), "")
     return F.transform(letters, lambda s: (F.ascii(s) - SYMBOL_BASE).cast("bigint"))

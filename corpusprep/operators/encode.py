@@ -23,7 +23,7 @@ def encode(
     """Replace the text column by token ids, row by row where the rows are."""
     symbols = text_symbols(F.col(text), tokenizer.eos)
     merged = apply_merges(symbols, tokenizer.merges, tokenizer.reuses_tokens())
-    ids = symbol_ids(F.translate(merged, WORD_BREAK, ""))
+    ids = symbol_ids(F.replace(merged, F.lit(WORD_BREAK), F.lit("")))
     return texts.withColumn(name, ids).drop(text)
 
 
