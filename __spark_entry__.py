@@ -312,10 +312,10 @@ def next_token_pairs(spark, sf_dir):
 def corpus_to_blocks(spark, sf_dir):
     """Selection, vocabulary, encoding and packing, with the yield of each split."""
     chosen = materialize(corpus.select_stories(raw(spark, sf_dir), CORPUS), "stories")
-    rows = corpus.story_records(chosen, CORPUS)
+    rows = corpus.story_records(spread(chosen), CORPUS)
     texts = rows.where(F.col("split") == "train").select("text")
     tokenizer = bpe.train(bpe.word_counts(texts), Q.vocab_size)
-    chunks = tokens.tokenized_chunks(spread(rows), tokenizer, PACK.context_length)
+    chunks = tokens.tokenized_chunks(rows, tokenizer, PACK.context_length)
     chunks = materialize(chunks, "chunks")
     return pack.packing_yield(chunks, PACK, by=("split",))
 

@@ -34,9 +34,9 @@ from corpusprep.functions.pretokenize import words
 from corpusprep.sources.scratch import drop_scratch, write_scratch
 
 # Bounds on what the driver receives per round. None of them changes the result.
-FIRST_HOT_PAIRS = 32
-MAX_HOT_PAIRS = 512
-MAX_RUNS = 50_000
+FIRST_HOT_PAIRS = 64
+MAX_HOT_PAIRS = 2048
+MAX_RUNS = 100_000
 
 # Up to this many merges strings are rewritten by JVM functions, one pass per
 # merge; above it, words are looked up in a per-task cache.

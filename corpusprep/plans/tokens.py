@@ -10,7 +10,7 @@ from corpusprep.operators.bpe import Tokenizer, train, word_counts
 from corpusprep.operators.encode import chunk_features, chunk_tokens, encode
 from corpusprep.operators.pack import pack_blocks
 from corpusprep.plans.corpus import select_stories, story_records
-from corpusprep.sources.tables import read_table, write_splits
+from corpusprep.sources.tables import read_table, spread, write_splits
 from corpusprep.sources.tokenizer import save_tokenizer
 
 
@@ -44,7 +44,7 @@ def prepare(raw: DataFrame, root: str, cfg: PrepConfig) -> None:
     """
     spark = raw.sparkSession
     write_splits(story_records(select_stories(raw, cfg.corpus), cfg.corpus), f"{root}/stories")
-    stories = read_table(spark, f"{root}/stories")
+    stories = spread(read_table(spark, f"{root}/stories"))
     tokenizer = train_tokenizer(stories, cfg.tokenizer)
     save_tokenizer(spark, tokenizer, f"{root}/tokenizer")
     chunks = tokenized_chunks(stories, tokenizer, cfg.pack.context_length)

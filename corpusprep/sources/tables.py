@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a scan that has fewer splits than the cluster has cores.
+    """Use every core for a file scan that has fewer splits than there are cores.
 
-    Large inputs already have more splits and pass through without a shuffle.
+    Large inputs have more splits and pass through without a shuffle. Only for
+    scans: asking for the partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

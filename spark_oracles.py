@@ -13,7 +13,7 @@ class Parameters:
     seed: int = 7
     max_stories: int = 50
     feed_batch: int = 256
-    vocab_size: int = 272
+    vocab_size: int = 300
     context: int = 512
     workers: int = 3
     row_limit: int = 100
