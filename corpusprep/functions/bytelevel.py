@@ -25,11 +25,11 @@ BYTE_OF_ID = dict(enumerate(_PRINTABLE + _SHIFTED, start=1))
 ID_OF_BYTE = {b: i for i, b in BYTE_OF_ID.items()}
 PRINTED = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(_SHIFTED)}
 
-# Symbols lie between the two-byte code points and the surrogates, so each is
-# one UTF-16 unit and three UTF-8 bytes.
-SYMBOL_BASE = 0x1000
+# Code point 0 stands between words and the tokens follow, so that most byte
+# tokens take one byte in UTF-8. All symbols lie below the surrogates.
+WORD_BREAK = "\0"
+SYMBOL_BASE = 1
 MAX_TOKENS = 0xD800 - SYMBOL_BASE
-WORD_BREAK = chr(SYMBOL_BASE - 1)
 EOS_SYMBOL = chr(SYMBOL_BASE + EOS_ID)
 
 _BYTE_CHARS = "".join(chr(b) for b in range(256))

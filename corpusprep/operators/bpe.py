@@ -42,6 +42,7 @@ MAX_RUNS = 100_000
 # merge; above it, words are looked up in a per-task cache.
 NATIVE_MERGES = 32
 CACHED_WORDS = 500_000
+LONG_WORD = 256
 
 
 class Merge(NamedTuple):
@@ -112,21 +113,37 @@ def merge_words(merges: Sequence[Merge], reused: bool):
     joined = [symbol(m.new_id) for m in merges]
     rank = {pair: i for i, pair in enumerate(pairs)}
     unknown = len(rank)
-    # A reused token can bring back an earlier pair, so places go one by one.
-    places = 1 if reused else -1
+    # A reused token can bring back an earlier pair, so places then go one by one.
+    longest = float("inf") if reused else LONG_WORD
     word_break, limit = WORD_BREAK, CACHED_WORDS
 
     @F.pandas_udf("string")
     def merged_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, str] = {}
 
+        def ranks_of(word: str) -> list[int]:
+            return [rank.get(a + b, unknown) for a, b in zip(word, word[1:])]
+
+        def merge_long(word: str) -> str:
+            while (first := min(ranks_of(word), default=unknown)) != unknown:
+                word = word.replace(pairs[first], joined[first])
+            return word
+
+        def merge_short(word: str) -> str:
+            parts, ranks = list(word), ranks_of(word)
+            while (first := min(ranks, default=unknown)) != unknown:
+                at = ranks.index(first)
+                new = joined[first]
+                parts[at : at + 2] = [new]
+                del ranks[at]
+                if at > 0:
+                    ranks[at - 1] = rank.get(parts[at - 1] + new, unknown)
+                if at < len(ranks):
+                    ranks[at] = rank.get(new + parts[at + 1], unknown)
+            return "".join(parts)
+
         def merge(word: str) -> str:
-            merged = word
-            while len(merged) > 1:
-                first = min([rank.get(a + b, unknown) for a, b in zip(merged, merged[1:])])
-                if first == unknown:
-                    break
-                merged = merged.replace(pairs[first], joined[first], places)
+            merged = merge_long(word) if len(word) > longest else merge_short(word)
             if len(cache) >= limit:
                 cache.clear()
             cache[word] = merged
@@ -162,10 +179,14 @@ def pair_counts(table: DataFrame) -> DataFrame:
     )
 
 
+def regex_char(sym: str) -> str:
+    return rf"\x{{{ord(sym):x}}}"
+
+
 def hot_runs(table: DataFrame, hot: list[str]) -> DataFrame:
     """``(run, freq)``: the words cut wherever two neighbours are no hot pair."""
     rights: dict[str, str] = {}
-    for left, right in hot:
+    for left, right in (map(regex_char, pair) for pair in hot):
         rights[left] = rights.get(left, "") + right
     any_hot = "|".join(f"{left}[{right}]" for left, right in rights.items())
     runs = F.regexp_extract_all("symbols", F.lit(f"(?s)(?:(?={any_hot}).)+."), F.lit(0))
