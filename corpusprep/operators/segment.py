@@ -19,7 +19,7 @@ def segment_stories(
     the last end marker of a file belong to no story. ``line_no`` orders lines
     inside a block and ``block`` orders the blocks of a file.
     """
-    marked = lines.withColumn("line", strip(F.col("line")))
+    marked = lines.withColumn("line", strip(F.col("line"))).where(F.col("line") != "")
     numbered = running_total(
         marked,
         (F.col("line") == eos).cast("int"),
@@ -31,7 +31,7 @@ def segment_stories(
         few_buckets=False,
     )
     # The tail leaves before stories are collected, so its size does not matter.
-    kept = numbered.where((F.col("story_no") < F.col("_stories")) & (F.col("line") != ""))
+    kept = numbered.where(F.col("story_no") < F.col("_stories"))
     content = F.when(F.col("line") != eos, F.struct("block", "line_no", "line"))
     stories = kept.groupBy(*by, "story_no").agg(
         F.transform(F.array_sort(F.collect_list(content)), lambda x: x["line"]).alias("_lines")

@@ -136,7 +136,7 @@ _BYTE_IDS = f"""encoded AS (
 
 def chunked(by: str = "") -> str:
     return f"""chunks AS (
-  SELECT {by}story_id, p AS chunk_no, ids[p * {Q.context} + 1 : (p + 1) * {Q.context}] AS ids
+  SELECT {by}story_id, p::INT AS chunk_no, ids[p * {Q.context} + 1 : (p + 1) * {Q.context}] AS ids
   FROM (SELECT {by}story_id, ids,
                unnest(range(0, greatest(1, (len(ids) + {Q.context - 1}) // {Q.context}))) AS p
         FROM encoded))"""
@@ -183,7 +183,7 @@ FROM (SELECT {by}group_id, sum(len(ids)) AS tokens FROM grouped GROUP BY {by}gro
 
 
 _BATCHES = f"""positions AS (
-  SELECT epoch, block_id,
+  SELECT epoch::INT AS epoch, block_id,
          row_number() OVER (PARTITION BY epoch
            ORDER BY md5(({Q.seed} + epoch) || ':' || block_id)) - 1 AS i
   FROM blocks, range(0, {Q.epochs}) e(epoch)),
@@ -213,7 +213,7 @@ FROM stories GROUP BY split""",
     "corpus_counts": f"""
 WITH {stories()} SELECT count(*) AS train_stories FROM stories WHERE split = 'train'""",
     "clean_lines": f"""
-SELECT doc_id AS story_id, generate_subscripts({_LINES}, 1) - 1 AS line_no,
+SELECT doc_id AS story_id, (generate_subscripts({_LINES}, 1) - 1)::INT AS line_no,
        unnest({_LINES}) AS line
 FROM documents""",
     "story_records": f"""
@@ -235,7 +235,7 @@ WHERE i <= {Q.max_stories}""",
     "nfkc": """
 SELECT doc_id AS story_id, nfc_normalize(text) AS text FROM documents""",
     "pretokens": f"""
-SELECT doc_id AS story_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word
+SELECT doc_id AS story_id, (generate_subscripts(w, 1) - 1)::INT AS pos, unnest(w) AS word
 FROM (SELECT doc_id, {word_list("text")} AS w FROM documents)""",
     "word_counts": f"""
 WITH {records()}, {_TRAIN_WORDS} SELECT word, freq FROM word_counts""",
@@ -289,7 +289,7 @@ SELECT story_id, len(ids) AS tokens, list_sum(ids)::BIGINT AS sum_input_ids,
 FROM encoded""",
     "parse_int_list": f"""
 WITH {_BYTE_CHUNKS}
-SELECT story_id, chunk_no, len(ids) AS numbers, list_sum(ids)::BIGINT AS total FROM chunks""",
+SELECT story_id, chunk_no, len(ids)::INT AS numbers, list_sum(ids)::BIGINT AS total FROM chunks""",
     "shuffle_order": f"""
 WITH {_BYTE_CHUNKS}, {ordered()} SELECT story_id, chunk_no, idx FROM ordered""",
     "epoch_order": f"""
