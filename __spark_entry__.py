@@ -29,6 +29,15 @@ from corpusprep.sources.scratch import materialize
 from corpusprep.sources.tables import spread
 from spark_oracles import ORACLES, Q
 
+# The queries of the llm folder, if it is there.
+try:
+    from corpusprep.llm.registry import ORACLES as LLM_ORACLES
+    from corpusprep.llm.registry import QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpusprep.llm", "corpusprep.llm.registry", "corpus_pipeline"):
+        raise
+    LLM_ORACLES, LLM_QUERIES = {}, {}
+
 CORPUS = CorpusConfig(accepted_sources=Q.accepted, seed=Q.seed)
 PACK = PackConfig(seed=Q.seed)
 TRAINING = TrainingConfig(max_steps=Q.max_steps)
@@ -367,8 +376,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "step_plan": step_plan,
         "next_token_pairs": next_token_pairs,
         "corpus_to_blocks": corpus_to_blocks,
+        **LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **LLM_ORACLES}
