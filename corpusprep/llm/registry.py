@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from corpusprep.llm.secrets import op6_secrets
+from corpusprep.llm.simhash import op9_simhash
 
 QUERIES = {
     "op6_secrets": op6_secrets,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
