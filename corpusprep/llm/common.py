@@ -32,7 +32,8 @@ def bucket_count(docs: DataFrame, bytes_each: int) -> int:
 
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """Documents dealt by a hash of their id; equal plans share this one shuffle."""
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("b"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    keyed = docs.select("doc_id", "text", bucket.alias("b"))
     return keyed.repartition(buckets, "b")
 
 
