@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from corpusprep.llm.packing import op3_packing
 from corpusprep.llm.secrets import op6_secrets
 from corpusprep.llm.simhash import op9_simhash
 from corpusprep.llm.substrings import OP8_SQL, op8_substrings
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op6_secrets": op6_secrets,
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
