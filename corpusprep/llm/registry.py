@@ -6,10 +6,12 @@ from corpusprep.llm.packing import op3_packing
 from corpusprep.llm.secrets import op6_secrets
 from corpusprep.llm.simhash import op9_simhash
 from corpusprep.llm.substrings import OP8_SQL, op8_substrings
+from corpusprep.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
 }
