@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusprep.llm.language import op1_language
 from corpusprep.llm.packing import op3_packing
+from corpusprep.llm.pii import op2_pii
 from corpusprep.llm.secrets import op6_secrets
 from corpusprep.llm.simhash import op9_simhash
 from corpusprep.llm.substrings import OP8_SQL, op8_substrings
@@ -11,6 +12,7 @@ from corpusprep.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
