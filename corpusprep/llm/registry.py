@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusprep.llm.decontamination import op5_decontamination
 from corpusprep.llm.language import op1_language
+from corpusprep.llm.neighbours import op4_neighbours
 from corpusprep.llm.packing import op3_packing
 from corpusprep.llm.pii import op2_pii
 from corpusprep.llm.secrets import op6_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
+    "op4_neighbours": op4_neighbours,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
