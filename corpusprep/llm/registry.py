@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusprep.llm.decontamination import op5_decontamination
 from corpusprep.llm.language import op1_language
+from corpusprep.llm.lines import op10_lines
 from corpusprep.llm.neighbours import op4_neighbours
 from corpusprep.llm.packing import op3_packing
 from corpusprep.llm.pii import op2_pii
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
+    "op10_lines": op10_lines,
 }
 ORACLES: dict[str, str] = {
     "op8_substrings": OP8_SQL,
