@@ -14,7 +14,6 @@ from corpusprep.llm.common import (
     documents,
     from_planes,
     hash_map,
-    id_and_text,
     ids_of,
     in_map,
     mix,
@@ -348,7 +347,7 @@ def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
 
 
 def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``kept`` (text), ``n_lines``, ``n_removed`` for every row of ``docs``.
+    """``doc_id``, ``kept`` (text), ``n_lines``, ``n_removed``, ``rest`` for every row of ``docs``.
 
     A line goes if an earlier line, of a smaller id or higher up in the same text,
     has a Jaccard similarity of at least ``similarity`` to it, as sets of lower-case
@@ -356,14 +355,17 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     left. Lines without words stay. A null text has no lines and stays null; a null
     id comes before all others. Rows that share an id are versions of one document:
     lines of theirs with the same number are not earlier or later than each other.
+    The other columns of ``docs`` come along as the struct ``rest``.
     """
-    rows = id_and_text(docs)
-    gone = materialize(removed_lines(rows, similarity), "removed")
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(True).alias("none")]
+    rows = docs.select("doc_id", "text", F.struct(*others).alias("rest"))
+    gone = materialize(removed_lines(rows.select("doc_id", "text"), similarity), "removed")
     of_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("line", "hash")).alias("gone"))
     marks = rows.sparkSession.sparkContext.broadcast(hash_map(of_doc.select(F.xxhash64("doc").alias("h")), "h"))
     kind = dict(rows.dtypes)["doc_id"]
-    out = f"doc_id {kind}, kept string, n_lines bigint, n_removed bigint"
-    keyed = rows.select("doc_id", "text", F.xxhash64(key_of(rows)).alias("h"))
+    rest = rows.schema["rest"].dataType.simpleString()
+    out = f"doc_id {kind}, kept string, n_lines bigint, n_removed bigint, rest {rest}"
+    keyed = rows.select("doc_id", "text", "rest", F.xxhash64(key_of(rows)).alias("h"))
 
     def deal(hit: bool):
         def choose(batches):
@@ -395,14 +397,15 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
                     "kept": pa.array(kept, pa.string()),
                     "n_lines": pa.array([len(x) for x in lines], pa.int64()),
                     "n_removed": pa.array([len(d) for d in drop], pa.int64()),
+                    "rest": batch["rest"],
                 }
             )
 
-    schema = f"doc_id {kind}, text string, h bigint"
+    schema = f"doc_id {kind}, text string, rest {rest}, h bigint"
     clean = keyed.mapInArrow(deal(False), schema).mapInArrow(cut, out)
     touched = keyed.mapInArrow(deal(True), schema)
     touched = touched.withColumn("doc", key_of(touched)).join(of_doc, "doc", "left")
-    return clean.unionByName(touched.select("doc_id", "text", "gone").mapInArrow(cut, out))
+    return clean.unionByName(touched.select("doc_id", "text", "rest", "gone").mapInArrow(cut, out))
 
 
 def op10_lines(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
 from corpusprep.llm.decontamination import op5_decontamination
 from corpusprep.llm.language import op1_language
 from corpusprep.llm.lines import op10_lines
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_lines": op10_lines,
+    "pipeline": run,
 }
 ORACLES: dict[str, str] = {
     "op8_substrings": OP8_SQL,
