@@ -160,3 +160,28 @@ def planes(values: np.ndarray) -> bytes:
 def from_planes(blob: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.frombuffer(blob, np.uint8).reshape(width, -1).T.copy().reshape(-1).view(kind)
+
+
+MAP_BITS = 24
+
+
+def hash_map(rows: DataFrame, column: str) -> bytes:
+    """A bit for the low ``MAP_BITS`` bits of every hash in ``column``: 2 MB for any table.
+
+    A value whose bit is not set is not in the table, so tasks can drop most rows
+    before a join; as the table grows fewer are dropped, and the join stays exact.
+    """
+    low = F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = rows.select(low.alias("h")).groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    out = np.zeros((1 << MAP_BITS) // 64, "<i8")
+    for row in words.collect():
+        out[row["at"]] = row["bits"]
+    return out.tobytes()
+
+
+def in_map(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit hash is set."""
+    low = hashes & np.uint64((1 << MAP_BITS) - 1)
+    byte = np.frombuffer(bits, np.uint8)[low >> np.uint64(3)]
+    return (byte >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0

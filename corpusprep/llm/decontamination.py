@@ -12,6 +12,8 @@ from corpusprep.llm.common import (
     NOT_ALPHANUMERIC,
     documents,
     gram_hashes,
+    hash_map,
+    in_map,
     inside_text,
     texts_of,
     words_of,
@@ -20,7 +22,6 @@ from corpusprep.sources.scratch import materialize
 
 TILE_WORDS = 5  # the shortest match that counts, and the seed
 COVERAGE = 0.8  # share of an item's words that tiles must cover
-MAP_BITS = 24  # the map of seeds that every task holds: 2 MB, whatever the benchmark's size
 
 
 def normalised(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,25 +53,6 @@ def seeds_of(items: DataFrame) -> DataFrame:
     return items.mapInArrow(cut, f"item_id {kind}, place bigint, words bigint, seed bigint")
 
 
-def seed_map(seeds: DataFrame) -> bytes:
-    """A bit for each seed's low ``MAP_BITS`` bits, joined in Spark from those of all tasks."""
-    size = 1 << MAP_BITS
-
-    def mark(batches):
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            bits[batch["seed"].to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(size - 1)] = True
-        words = np.packbits(bits, bitorder="little").view("<i8")
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at), "bits": pa.array(words[at])})
-
-    parts = seeds.select("seed").mapInArrow(mark, "at bigint, bits bigint")
-    out = np.zeros(size // 64, "<i8")
-    for row in parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
-        out[row["at"]] = row["bits"]
-    return out.tobytes()
-
-
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = TILE_WORDS) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in document, length) of the tiles.
 
@@ -134,17 +116,14 @@ def contaminated(
     items = items.select("item_id", "text").where("text is not null").distinct()
     items = items.withColumn("item", F.sha2("text", 256))
     seeds = materialize(seeds_of(items.select(F.col("item").alias("item_id"), "text").distinct()), "seeds")
-    marks = docs.sparkSession.sparkContext.broadcast(seed_map(seeds))
-    size = np.uint64((1 << MAP_BITS) - 1)
+    marks = docs.sparkSession.sparkContext.broadcast(hash_map(seeds, "seed"))
 
     def hits(batches):
-        bits = np.frombuffer(marks.value, np.uint8)
         for batch in batches:
             hashes, first, whole = normalised(batch["text"])
             at = np.flatnonzero(whole)
             found = gram_hashes(hashes, TILE_WORDS)[at]
-            low = found & size
-            known = (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            known = in_map(marks.value, found)
             at, found = at[known], found[known]
             row = np.searchsorted(first, at, "right") - 1
             pairs = np.unique(np.column_stack([row.astype(np.uint64), found]), axis=0)
