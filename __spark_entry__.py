@@ -11,7 +11,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.config import CorpusConfig, PackConfig, TrainingConfig
+from corpusprep.config import (
+    EOS,
+    CorpusConfig,
+    PackConfig,
+    PrepConfig,
+    TokenizerConfig,
+    TrainingConfig,
+)
 from corpusprep.functions.bytelevel import SYMBOL_BASE, byte_symbols
 from corpusprep.functions.normalize import nfkc
 from corpusprep.functions.pretokenize import words
@@ -286,23 +293,31 @@ def packing_yield(spark, sf_dir):
 
 
 def block_limit(spark, sf_dir):
-    return block_rows(pack.first_blocks(byte_blocks(spark, sf_dir), Q.row_limit))
+    cfg = PackConfig(seed=Q.seed, row_limit=Q.row_limit)
+    return block_rows(pack.pack_blocks(chunk_table(spark, sf_dir), cfg))
 
 
 def block_lookup(spark, sf_dir):
-    return block_rows(pack.block_lookup(byte_blocks(spark, sf_dir), Q.positions))
+    chosen = lambda block_id: block_id.isin(*Q.positions)
+    return block_rows(pack.pack_blocks(chunk_table(spark, sf_dir), PACK, wanted=chosen))
 
 
 # Minibatches
 
 
+def narrow_chunks(spark, sf_dir) -> DataFrame:
+    """Places and lengths of the byte chunks, without their tokens."""
+    rows = byte_chunks(spark, sf_dir).select("story_id", "chunk_no", "length")
+    return materialize(rows, "chunk-lengths")
+
+
 def batch_plan(spark, sf_dir):
-    ids = byte_blocks(spark, sf_dir).select("block_id")
+    ids = pack.block_ids(narrow_chunks(spark, sf_dir), PACK)
     return batches.batch_plan(batches.epoch_positions(ids, Q.epochs, Q.seed), TRAINING)
 
 
 def batch_plan_valid(spark, sf_dir):
-    ids = byte_blocks(spark, sf_dir).select("block_id")
+    ids = pack.block_ids(narrow_chunks(spark, sf_dir), PACK)
     return batches.batch_plan(batches.epoch_positions(ids, 1, shuffle=False), TRAINING)
 
 
@@ -310,6 +325,32 @@ def step_plan(spark, sf_dir):
     return batches.step_plan(batch_plan(spark, sf_dir), TRAINING)
 
 
+def split_chunks(spark, sf_dir) -> DataFrame:
+    """Byte chunks of the distinct stories with their split."""
+    rows = records(spark, sf_dir).withColumn("text", F.replace("text", F.lit(EOS), F.lit("")))
+    chunks = tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length)
+    return materialize(chunks.select("split", "story_id", "chunk_no", "length", "input_ids"), "chunks")
+
+
+def split_block_rows(blocks: DataFrame) -> DataFrame:
+    return blocks.select("split", "block_id", "group_id", "block_no", joined("input_ids"))
+
+
+def epoch_blocks(spark, sf_dir):
+    """All blocks of the second epoch, packed anew under its seed."""
+    cfg = PackConfig(seed=pack.epoch_seed(Q.seed, 1, reload=True, shuffle_data=True))
+    return split_block_rows(pack.pack_blocks(split_chunks(spark, sf_dir), cfg, by=("split",)))
+
+
+def train_steps(spark, sf_dir):
+    cfg = PrepConfig(pack=PACK, training=TrainingConfig(max_steps=Q.many_steps))
+    return tokens.training_plan(split_chunks(spark, sf_dir), cfg)
+
+
+def valid_batches(spark, sf_dir):
+    return tokens.validation_plan(split_chunks(spark, sf_dir), PrepConfig(pack=PACK))
+
+
 def next_token_pairs(spark, sf_dir):
     pairs = batches.next_token_pairs(byte_blocks(spark, sf_dir))
     return pairs.select("block_id", joined("inputs"), joined("targets"))
@@ -318,15 +359,81 @@ def next_token_pairs(spark, sf_dir):
 # All stages
 
 
-def corpus_to_blocks(spark, sf_dir):
-    """Selection, vocabulary, encoding and packing, with the yield of each split."""
+def corpus_chunks(spark, sf_dir) -> DataFrame:
+    """Selection, vocabulary and encoding of the accepted sources."""
     chosen = materialize(corpus.select_stories(raw(spark, sf_dir), CORPUS), "stories")
     rows = corpus.story_records(spread(chosen), CORPUS)
     texts = rows.where(F.col("split") == "train").select("text")
     tokenizer = bpe.train(bpe.word_counts(texts), Q.vocab_size)
     chunks = tokens.tokenized_chunks(rows, tokenizer, PACK.context_length)
-    chunks = materialize(chunks, "chunks")
-    return pack.packing_yield(chunks, PACK, by=("split",))
+    return materialize(chunks, "chunks")
+
+
+def corpus_to_blocks(spark, sf_dir):
+    """All stages: the packed blocks of each split."""
+    return split_block_rows(tokens.packed_blocks(corpus_chunks(spark, sf_dir), PACK))
+
+
+def corpus_yield(spark, sf_dir):
+    return pack.packing_yield(corpus_chunks(spark, sf_dir), PACK, by=("split",))
+
+
+# Full vocabularies
+
+
+def full_tokenizer(spark, sf_dir) -> Tokenizer:
+    return bpe.train(word_counts(spark, sf_dir), TokenizerConfig().vocab_size)
+
+
+def decode_roundtrip_8192(spark, sf_dir):
+    tokenizer = full_tokenizer(spark, sf_dir)
+    rows = encode.encode(records(spark, sf_dir).select("story_id", "text"), tokenizer)
+    return encode.decode(rows, tokenizer, skip_special=False)
+
+
+def chunk_roundtrip_8192(spark, sf_dir):
+    """Chunks of the full vocabulary, put together in order and decoded."""
+    tokenizer = full_tokenizer(spark, sf_dir)
+    rows = records(spark, sf_dir).select("story_id", "text")
+    chunks = tokens.tokenized_chunks(rows, tokenizer, PACK.context_length)
+    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "input_ids")))
+    ids = F.flatten(F.transform(parts, lambda p: p["input_ids"])).alias("input_ids")
+    return encode.decode(chunks.groupBy("story_id").agg(ids), tokenizer, skip_special=False)
+
+
+# Texts changed so that an operator has work to do
+
+
+def nfkc_wide(spark, sf_dir):
+    wide = F.translate("text", "aeo", "\uff41\uff45\uff4f")
+    return raw(spark, sf_dir).select("story_id", nfkc(wide).alias("text"))
+
+
+def story_strip_padded(spark, sf_dir):
+    padded = F.concat(F.lit("\u00a0\x1c\n\u3000"), F.col("text"), F.lit("\x1f \u2003\r\n"))
+    return raw(spark, sf_dir).select("story_id", strip(padded).alias("text"))
+
+
+def clean_lines_padded(spark, sf_dir):
+    padded = F.replace("text", F.lit("\n"), F.lit("\u00a0\r\n \x1c\n\t\r\u2003"))
+    lines = clean_lines(padded)
+    return raw(spark, sf_dir).select("story_id", F.posexplode(lines).alias("line_no", "line"))
+
+
+def segment_marked(spark, sf_dir):
+    """Two marker lines at every newline: empty stories, and tails that no marker ends."""
+    marked = F.replace("text", F.lit("\n"), F.lit(f"\n{EOS}\n {EOS} \n"))
+    lines = raw(spark, sf_dir).select(
+        F.col("source").alias("file"),
+        F.col("story_id").alias("block"),
+        F.posexplode(F.split(marked, "\n")).alias("line_no", "line"),
+    )
+    return segment.segment_stories(lines)
+
+
+def fine_split(spark, sf_dir):
+    split = dedup.split_of(F.col("text"), Q.fine_ratio, Q.seed)
+    return stories(spark, sf_dir).select("story_id", split.alias("split"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -376,6 +483,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "step_plan": step_plan,
         "next_token_pairs": next_token_pairs,
         "corpus_to_blocks": corpus_to_blocks,
+        "corpus_yield": corpus_yield,
+        "decode_roundtrip_8192": decode_roundtrip_8192,
+        "chunk_roundtrip_8192": chunk_roundtrip_8192,
+        "fine_split": fine_split,
+        "nfkc_wide": nfkc_wide,
+        "story_strip_padded": story_strip_padded,
+        "clean_lines_padded": clean_lines_padded,
+        "segment_marked": segment_marked,
+        "epoch_blocks": epoch_blocks,
+        "train_steps": train_steps,
+        "valid_batches": valid_batches,
         **LLM_QUERIES,
     }
 

@@ -25,7 +25,6 @@ class CorpusConfig:
 class TokenizerConfig:
     eos_token: str = EOS
     vocab_size: int = 8192
-    feed_batch_size: int = 256
     exclude_eos: bool = False
 
 

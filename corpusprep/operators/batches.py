@@ -16,14 +16,23 @@ def epoch_positions(
 
     Unshuffled data, as for validation, keeps the contiguous block order.
     """
+    if epochs <= 0:
+        blocks = blocks.where(F.lit(False))
     ids = blocks.select(
-        *by, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "block_id"
+        *by, F.explode(F.sequence(F.lit(0), F.lit(max(0, epochs - 1)))).alias("epoch"), "block_id"
     )
     if not shuffle:
         return ids.withColumn("at", F.col("block_id"))
     return shuffle_order(ids, ["block_id"], F.col("epoch") + seed, "at", (*by, "epoch"))
 
 
+def epochs_for(blocks: int, cfg: TrainingConfig) -> int:
+    """Epochs until ``max_steps`` steps are done over so many blocks; 0 without blocks."""
+    batches = -(-blocks // cfg.batch_size)
+    steps = -(-batches // cfg.accumulate_batches)
+    return -(-cfg.max_steps // steps) if steps else 0
+
+
 def batch_plan(positions: DataFrame, cfg: TrainingConfig) -> DataFrame:
     """Replace positions by minibatch number and place; the last batch may be short."""
     others = [c for c in positions.columns if c != "at"]

@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from heapq import heappop, heappush
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,8 @@ def merge_words(merges: Sequence[Merge], reused: bool):
     longest = float("inf") if reused else LONG_WORD
     word_break, limit = WORD_BREAK, CACHED_WORDS
 
-    @F.pandas_udf("string")
-    def merged_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def merged_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, str] = {}
 
         def ranks_of(word: str) -> list[int]:
@@ -149,11 +151,16 @@ def merge_words(merges: Sequence[Merge], reused: bool):
             cache[word] = merged
             return merged
 
-        def merge_all(text: str) -> str:
-            return word_break.join([cache.get(w) or merge(w) for w in text.split(word_break)])
-
         for batch in batches:
-            yield batch.map(merge_all, na_action="ignore")
+            # Python sees each distinct word of a batch once; the rest is Arrow's work.
+            lists = pc.split_pattern(batch, word_break)
+            found = pc.list_flatten(lists).dictionary_encode()
+            merged = [cache.get(w) or merge(w) for w in found.dictionary.to_pylist()]
+            flat = pa.array(merged, pa.string()).take(found.indices)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            whole = pc.binary_join(pa.ListArray.from_arrays(offsets, flat), word_break)
+            yield pc.if_else(pc.is_valid(batch), whole, pa.scalar(None, pa.string()))
 
     return merged_words
 

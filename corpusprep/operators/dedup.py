@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.config import SPLITS
 
+DRAW_DIGITS = 15  # hexadecimal digits of a draw: 60 bits
+
 
 def accept_sources(stories: DataFrame, accepted, source: str = "source") -> DataFrame:
     """Rows whose source is on the list; matching is case-sensitive."""
@@ -41,12 +45,18 @@ def split_of(text: Column, train_ratio: float, seed: int = 0) -> Column:
     The draw depends on nothing but its input, so retries and other
     partitionings give the same split.
     """
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), text)), 1, 8), 16, 10)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), text))
+    draw = F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("bigint")
     train, valid = SPLITS
-    held_out = draw.cast("bigint") % 10000 >= round(train_ratio * 10000)
+    held_out = draw >= F.lit(split_bound(train_ratio))
     return F.when(held_out, valid).otherwise(train)
 
 
+def split_bound(train_ratio: float) -> int:
+    """The smallest draw that is held out; exact for any ratio."""
+    return int(Fraction(train_ratio) * 16**DRAW_DIGITS)
+
+
 def split_stats(stories: DataFrame) -> DataFrame:
     """Stories and share per split; the share is taken over two rows."""
     counts = stories.groupBy("split").agg(F.count(F.lit(1)).alias("stories"))

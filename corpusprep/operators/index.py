@@ -7,6 +7,9 @@ The result depends on the data alone, so lost executors cannot change it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +58,11 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     counted = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = counted.join(F.broadcast(bases) if few_buckets else bases, [*by, "_bucket"])
+    keys = [*by, "_bucket"]
+    named = bases.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_base", *([total] if total else []))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    joined = counted.join(F.broadcast(named) if few_buckets else named, same)
+    joined = joined.drop(*[f"_of_{k}" for k in keys])
     return joined.withColumn(name, F.col("_base") + F.col("_inside")).drop(
         "_bucket", "_value", "_base", "_inside"
     )

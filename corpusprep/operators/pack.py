@@ -6,6 +6,8 @@ block, even if a group holds a third of all chunks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,63 +81,103 @@ def first_block_ids(groups: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()
     ).select(*by, "group_id", "first_block")
 
 
-def pack_blocks(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) -> DataFrame:
-    """Full blocks ``(*by, block_id, group_id, block_no, input_ids)``.
+def group_blocks(groups: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """``first_block_ids``, to be joined to every chunk of a group."""
+    first = first_block_ids(groups, cfg, by)
+    # ``num_workers`` groups are as many rows per split, whatever the data's size. A
+    # shuffle by group would put all chunks into as many tasks.
+    return F.broadcast(first) if cfg.group_mode == "n_groups" else first
 
-    Chunks of a group are joined in shuffle order; what is left after the last
-    full block of a group is dropped. Block ids are contiguous per ``by``.
+
+def block_pieces(
+    chunks: DataFrame,
+    cfg: PackConfig,
+    by: tuple[str, ...] = (),
+    wanted: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Which tokens of which chunk go where: narrow rows, no token moves.
+
+    ``(*by, story_id, chunk_no, group_id, block_no, block_id, at, skip, take)``;
+    ``wanted`` chooses blocks by their id.
     """
     length = cfg.context_length
-    groups = pack_groups(chunks, cfg, by)
-    # Joined before the cut: both sides are then sorted by group already.
-    placed = token_offsets(groups, cfg, by).join(
-        first_block_ids(groups, cfg, by), [*by, "group_id"]
-    )
+    groups = pack_groups(chunks.select(*by, "story_id", "chunk_no", "length"), cfg, by)
+    keys = [*by, "group_id"]
+    placed = token_offsets(groups, cfg, by).join(group_blocks(groups, cfg, by), keys)
     end = F.col("start") + F.col("length")
     last = F.least(int_div(end - 1, length), int_div(F.col("group_tokens"), length) - 1)
     touched = placed.where(int_div(F.col("start"), length) <= last).select(
-        *by,
-        "group_id",
+        *keys,
+        "story_id",
+        "chunk_no",
         "first_block",
         "start",
-        "length",
-        "input_ids",
+        end.alias("end"),
         F.explode(F.sequence(int_div(F.col("start"), length), last)).alias("block_no"),
     )
     low = F.greatest(F.col("start"), F.col("block_no") * length)
-    high = F.least(end, (F.col("block_no") + 1) * length)
-    piece = F.slice(
-        "input_ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
-    )
-    pieces = touched.select(
-        *by,
-        "group_id",
-        "first_block",
+    high = F.least(F.col("end"), (F.col("block_no") + 1) * length)
+    block_id = F.col("first_block") + F.col("block_no")
+    return touched.where(wanted(block_id) if wanted else F.lit(True)).select(
+        *keys,
+        "story_id",
+        "chunk_no",
         "block_no",
-        F.struct(low.alias("at"), piece.alias("ids")).alias("piece"),
+        block_id.alias("block_id"),
+        low.alias("at"),
+        (low - F.col("start")).alias("skip"),
+        (high - low).alias("take"),
     )
-    blocks = pieces.groupBy(*by, "group_id", "first_block", "block_no").agg(
-        F.flatten(
-            F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])
-        ).alias("input_ids")
+
+
+def pack_blocks(
+    chunks: DataFrame,
+    cfg: PackConfig,
+    by: tuple[str, ...] = (),
+    wanted: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Full blocks ``(*by, block_id, group_id, block_no, input_ids)``.
+
+    Chunks of a group are joined in shuffle order; what is left after the last
+    full block of a group is dropped. Block ids are contiguous per ``by``. Places
+    come from narrow rows alone; tokens join them once, and only those of
+    ``wanted`` blocks.
+    """
+    if cfg.row_limit is not None:
+        limit, chosen = cfg.row_limit, wanted
+        wanted = lambda b: (b < limit) & (chosen(b) if chosen else F.lit(True))
+    pieces = block_pieces(chunks, cfg, by, wanted)
+    payload = chunks.select(*by, "story_id", "chunk_no", "input_ids")
+    cut = F.slice("input_ids", (F.col("skip") + 1).cast("int"), F.col("take").cast("int"))
+    block = [*by, "block_id", "group_id", "block_no"]
+    rows = payload.join(pieces, [*by, "story_id", "chunk_no"]).select(
+        *block, F.struct("at", cut.alias("ids")).alias("piece")
     )
-    packed = blocks.select(
-        *by,
-        (F.col("first_block") + F.col("block_no")).alias("block_id"),
-        "group_id",
-        "block_no",
-        "input_ids",
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"]))
+    return rows.groupBy(*block).agg(joined.alias("input_ids"))
+
+
+def block_ids(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, block_id)`` of all blocks, from the group sizes alone."""
+    narrow = chunks.select(*by, "story_id", "chunk_no", "length")
+    sizes = pack_groups(narrow, cfg, by).groupBy(*by, "group_id").agg(F.sum("length").alias("tokens"))
+    totals = sizes.groupBy(*by, F.pmod(F.xxhash64("group_id"), F.lit(64)).alias("_part")).agg(
+        F.sum(int_div(F.col("tokens"), cfg.context_length)).alias("n")
     )
-    return packed if cfg.row_limit is None else first_blocks(packed, cfg.row_limit)
+    whole = totals.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 0")
+    step = 1 << 16  # two steps, so that no row holds all ids
+    ranges = whole.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), int_div(F.col("n") - 1, step))).alias("r"))
+    ids = F.sequence(F.col("r") * step, F.least((F.col("r") + 1) * step, F.col("n")) - 1)
+    return ranges.repartition(*by, "r").select(*by, F.explode(ids).alias("block_id"))
 
 
 def first_blocks(blocks: DataFrame, limit: int) -> DataFrame:
-    """The blocks with the lowest ids; ids are contiguous, so no sort is needed."""
+    """The blocks of a table with the lowest ids; ids are contiguous, so no sort is needed."""
     return blocks.where(F.col("block_id") < limit)
 
 
 def block_lookup(blocks: DataFrame, positions: list[int]) -> DataFrame:
-    """Blocks by position."""
+    """Blocks of a table by position."""
     return blocks.where(F.col("block_id").isin(*positions))
 
 

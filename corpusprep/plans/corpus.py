@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.config import CorpusConfig
+from corpusprep.config import EOS, CorpusConfig
 from corpusprep.functions.text import clean_lines, story_record, strip
 from corpusprep.operators.dedup import accept_sources, exact_dedup, split_of
 from corpusprep.operators.index import first_stories
@@ -18,7 +18,8 @@ def select_stories(raw: DataFrame, cfg: CorpusConfig) -> DataFrame:
     compared after stripping. Sources are filtered in the scan.
     """
     accepted = accept_sources(raw, cfg.accepted_sources)
-    return distinct_stories(accepted, cfg)
+    missing = F.raise_error(F.lit("accepted record without a story")).cast("string")
+    return distinct_stories(accepted.withColumn("text", F.coalesce("text", missing)), cfg)
 
 
 def distinct_stories(raw: DataFrame, cfg: CorpusConfig) -> DataFrame:
@@ -30,6 +31,25 @@ def distinct_stories(raw: DataFrame, cfg: CorpusConfig) -> DataFrame:
 
 
 def story_records(stories: DataFrame, cfg: CorpusConfig) -> DataFrame:
-    """Stories as cleaned lines closed by the end marker, capped per split."""
-    capped = first_stories(stories, cfg.max_stories)
-    return capped.withColumn("text", story_record(clean_lines(F.col("text"))))
+    """Stories as cleaned lines closed by the end marker, capped per split.
+
+    A line equal to the marker ends a story; what follows it is a story of its own,
+    whose id is taken from a digest of the first one's id and the part.
+    """
+    parts = stories.withColumn("_parts", marked_parts(clean_lines(F.col("text")), cfg.keep_empty))
+    others = [F.col(c) for c in stories.columns if c not in ("story_id", "text")]
+    cut = parts.select("story_id", *others, F.posexplode("_parts").alias("_no", "_lines"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", "story_id", "_no")), 1, 15), 16, 10).cast("bigint")
+    story_id = F.when(F.col("_no") == 0, F.col("story_id")).otherwise(digest)
+    records = cut.select(story_id.alias("story_id"), *others, story_record(F.col("_lines")).alias("text"))
+    return first_stories(records.select(*stories.columns), cfg.max_stories)
+
+
+def marked_parts(lines: Column, keep_empty: bool, eos: str = EOS) -> Column:
+    """The lines between marker lines, as an array of arrays; empty parts may go."""
+    bounds = F.filter(F.transform(lines, lambda x, i: F.when(x == eos, i + 1)), lambda i: i.isNotNull())
+    ends = F.concat(bounds, F.array(F.size(lines) + 1))
+    starts = F.concat(F.array(F.lit(0)), bounds)
+    parts = F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a - 1))
+    parts = F.when(F.exists(lines, lambda x: x == eos), parts).otherwise(F.array(lines))
+    return parts if keep_empty else F.filter(parts, lambda p: F.size(p) > 0)

@@ -26,6 +26,13 @@ def write_splits(df: DataFrame, path: str, partitions: int | None = None) -> Non
     out.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_blocks(blocks: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Replace the block table; files hold ranges of ids in order, so lookups skip row groups."""
+    keys = ["split", "block_id"]
+    out = blocks.repartitionByRange(*([partitions] if partitions else []), *keys)
+    out.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("split").parquet(path)
+
+
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One split of a table; other splits' files are not opened."""
     return spark.read.parquet(path).where(F.col("split") == split)

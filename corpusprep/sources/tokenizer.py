@@ -26,8 +26,18 @@ def load_tokenizer(spark: SparkSession, path: str) -> Tokenizer:
     return Tokenizer(merges, bytes(eos).decode())
 
 
+def tokenizer_from_json(text: str) -> Tokenizer:
+    """A tokenizer from the library's JSON; the file is as large as a vocabulary."""
+    document = json.loads(text)
+    vocab = document["model"]["vocab"]
+    eos = next(t["content"] for t in document["added_tokens"] if t["id"] == EOS_ID)
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in document["model"]["merges"]]
+    return Tokenizer(tuple(Merge(vocab[a], vocab[b], vocab[a + b], 0) for a, b in pairs), eos)
+
+
 def library_json(tokenizer: Tokenizer) -> str:
     """The tokenizer in the JSON format of the public ``tokenizers`` library."""
+    # Keys and values of this layout are fixed by the library's file format.
     names = ["".join(PRINTED[b] for b in token) for token in tokenizer.token_bytes()]
     names[EOS_ID] = tokenizer.eos
     byte_level = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 from corpusprep.config import EOS
 
@@ -22,6 +23,9 @@ class Parameters:
     batch: int = 128
     accumulate: int = 8
     max_steps: int = 2
+    many_steps: int = 9
+    train_ratio: float = 0.99
+    fine_ratio: float = 0.912345678
 
 
 Q = Parameters()
@@ -50,8 +54,9 @@ def byte_ids(text: str) -> str:
       ELSE {number} - 67 END FOR h IN regexp_extract_all(hex(encode({text})), '..')]"""
 
 
-def draw(key: str) -> str:
-    return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
+def split_of(text: str, ratio: float) -> str:
+    draw = f"('0x' || substr(md5('{Q.seed}:' || {text}), 1, 15))::BIGINT"
+    return f"CASE WHEN {draw} >= {int(Fraction(ratio) * 16**15)} THEN 'valid' ELSE 'train' END"
 
 
 _ACCEPTED = "(" + ", ".join(f"'{s}'" for s in Q.accepted) + ")"
@@ -65,8 +70,7 @@ _RECORD = rf"array_to_string({_LINES}, chr(10)) || chr(10) || '{EOS}'"
 def stories(where: str = "true", name: str = "stories") -> str:
     return f"""{name} AS (
   SELECT min(doc_id) AS story_id, story AS text,
-         CASE WHEN {draw(f"'{Q.seed}:' || story")} % 10000 >= 9900
-              THEN 'valid' ELSE 'train' END AS split
+         {split_of("story", Q.train_ratio)} AS split
   FROM (SELECT doc_id, {stripped("text")} AS story FROM documents WHERE {where})
   GROUP BY story)"""
 
@@ -158,16 +162,21 @@ def grouped(mode: str = "rows_per_group") -> str:
 
 
 # Every token gets its place in its group, then its block, the plain way.
-_BLOCKS = f"""placed AS (
-  SELECT group_id, token,
-         row_number() OVER (PARTITION BY group_id ORDER BY rank, i) - 1 AS place
-  FROM (SELECT group_id, rank, generate_subscripts(ids, 1) AS i, unnest(ids) AS token
+def blocks(by: str = "") -> str:
+    over = f"PARTITION BY {by.rstrip(', ')} " if by else ""
+    return f"""placed AS (
+  SELECT {by}group_id, token,
+         row_number() OVER (PARTITION BY {by}group_id ORDER BY rank, i) - 1 AS place
+  FROM (SELECT {by}group_id, rank, generate_subscripts(ids, 1) AS i, unnest(ids) AS token
         FROM grouped)),
 blocks AS (
-  SELECT row_number() OVER (ORDER BY group_id, block_no) - 1 AS block_id, *
-  FROM (SELECT group_id, place // {Q.context} AS block_no, list(token ORDER BY place) AS ids
+  SELECT row_number() OVER ({over}ORDER BY group_id, block_no) - 1 AS block_id, *
+  FROM (SELECT {by}group_id, place // {Q.context} AS block_no, list(token ORDER BY place) AS ids
         FROM placed GROUP BY ALL HAVING count(*) = {Q.context}))"""
 
+
+_BLOCKS = blocks()
+
 _BYTE_CHUNKS = f"{_BYTE_IDS},\n{chunked()}"
 _BYTE_GROUPS = f"{_BYTE_CHUNKS},\n{ordered()},\n{grouped()}"
 _BYTE_BLOCKS = f"{_BYTE_GROUPS},\n{_BLOCKS}"
@@ -182,6 +191,18 @@ def yields(by: str = "") -> str:
 FROM (SELECT {by}group_id, sum(len(ids)) AS tokens FROM grouped GROUP BY {by}group_id){ending}"""
 
 
+# Byte chunks of the distinct stories, packed by split.
+_SPLIT_BLOCKS = f"""{records()},
+encoded AS (
+  SELECT story_id, split, {byte_ids("CASE WHEN text LIKE ' %' THEN text ELSE ' ' || text END")} AS ids
+  FROM (SELECT story_id, split, substr(text, 1, length(text) - {len(EOS)}) AS text FROM records)),
+{chunked("split, ")}"""
+
+
+def split_blocks(seed: int = Q.seed) -> str:
+    return f"{_SPLIT_BLOCKS}, {ordered(seed, 'split, ')}, {grouped()}, {blocks('split, ')}"
+
+
 _BATCHES = f"""positions AS (
   SELECT epoch::INT AS epoch, block_id,
          row_number() OVER (PARTITION BY epoch
@@ -190,6 +211,15 @@ _BATCHES = f"""positions AS (
 plan AS (
   SELECT epoch, block_id, i // {Q.batch} AS batch_no, i % {Q.batch} AS pos FROM positions)"""
 
+def step_rows(plan: str, max_steps: int) -> str:
+    return f"""
+SELECT * FROM (
+  SELECT *, epoch * ((SELECT max(batch_no) FROM {plan}) // {Q.accumulate} + 1)
+            + batch_no // {Q.accumulate} AS optimizer_step
+  FROM {plan})
+WHERE optimizer_step < {max_steps}"""
+
+
 _BLOCK_ROWS = f"SELECT block_id, group_id, block_no, {numbers('ids')} AS input_ids FROM blocks"
 
 ORACLES = {
@@ -327,6 +357,60 @@ SELECT block_id, {numbers(f"ids[1 : {Q.context - 1}]")} AS inputs,
 FROM blocks""",
     "corpus_to_blocks": f"""
 WITH RECURSIVE {training(f"source IN {_ACCEPTED}")},
+{chunked("split, ")}, {ordered(by="split, ")}, {grouped()}, {blocks("split, ")}
+SELECT split, block_id, group_id, block_no, {numbers('ids')} AS input_ids FROM blocks""",
+    "corpus_yield": f"""
+WITH RECURSIVE {training(f"source IN {_ACCEPTED}")},
 {chunked("split, ")}, {ordered(by="split, ")}, {grouped()}
 {yields("split, ")}""",
+    # Full vocabularies, with answers that need no merges.
+    "decode_roundtrip_8192": f"""
+WITH {records()}
+SELECT story_id, CASE WHEN text LIKE ' %' THEN text ELSE ' ' || text END AS text FROM records""",
+    "chunk_roundtrip_8192": f"""
+WITH {records()}
+SELECT story_id, CASE WHEN text LIKE ' %' THEN text ELSE ' ' || text END AS text FROM records""",
+    "fine_split": f"""
+WITH {stories()} SELECT story_id, {split_of("text", Q.fine_ratio)} AS split FROM stories""",
+    # Texts changed so that the operator has work to do.
+    "nfkc_wide": """
+SELECT doc_id AS story_id, nfc_normalize(text) AS text FROM documents""",
+    "story_strip_padded": f"""
+SELECT doc_id AS story_id, {stripped("text")} AS text FROM documents""",
+    "clean_lines_padded": f"""
+SELECT doc_id AS story_id, (generate_subscripts({_LINES}, 1) - 1)::INT AS line_no,
+       unnest({_LINES}) AS line
+FROM documents""",
+    "segment_marked": rf"""
+WITH l AS (
+  SELECT file, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line, len(ls) AS n
+  FROM (SELECT source AS file, doc_id, {_LINES} AS ls FROM documents)),
+p AS (
+  SELECT *, 2 * coalesce(sum((i < n)::INT) OVER (PARTITION BY file ORDER BY doc_id, i
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS story_no,
+         2 * sum((i < n)::INT) OVER (PARTITION BY file) AS total
+  FROM l)
+SELECT file, story_no::BIGINT AS story_no,
+       string_agg(line, chr(10) ORDER BY doc_id, i) || chr(10) || '{EOS}' AS text
+FROM p WHERE story_no < total GROUP BY file, story_no
+UNION ALL
+SELECT file, (2 * b + 1)::BIGINT, chr(10) || '{EOS}'
+FROM (SELECT file, unnest(range(0, (total // 2)::BIGINT)) AS b FROM (SELECT DISTINCT file, total FROM p))""",
+    "epoch_blocks": f"""
+WITH {split_blocks(Q.seed + 1)}
+SELECT split, block_id, group_id, block_no, {numbers('ids')} AS input_ids FROM blocks""",
+    "train_steps": f"""
+WITH {split_blocks()},
+positions AS (
+  SELECT epoch::INT AS epoch, block_id,
+         row_number() OVER (PARTITION BY epoch
+           ORDER BY md5(({Q.seed} + epoch) || ':' || block_id)) - 1 AS i
+  FROM (SELECT * FROM blocks WHERE split = 'train'), range(0, {Q.many_steps}) e(epoch)),
+plan AS (
+  SELECT epoch, block_id, i // {Q.batch} AS batch_no, i % {Q.batch} AS pos FROM positions)
+{step_rows("plan", Q.many_steps)}""",
+    "valid_batches": f"""
+WITH {split_blocks()}
+SELECT 0 AS epoch, block_id, block_id // {Q.batch} AS batch_no, block_id % {Q.batch} AS pos
+FROM blocks WHERE split = 'valid'""",
 }
