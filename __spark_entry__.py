@@ -133,7 +133,7 @@ def story_records(spark, sf_dir):
 
 
 def segment_stories(spark, sf_dir):
-    """Each source is one file of delimited stories, cut into blocks of a few lines."""
+    """Each source is one file of delimited stories, cut into blocks of many lines."""
     lines = raw(spark, sf_dir).select(
         F.col("source").alias("file"),
         "story_id",
@@ -141,8 +141,8 @@ def segment_stories(spark, sf_dir):
     )
     blocks = lines.select(
         "file",
-        F.struct("story_id", index.int_div(F.col("at"), 3).alias("part")).alias("block"),
-        F.col("at").alias("line_no"),
+        index.int_div(F.col("story_id"), Q.block_stories).alias("block"),
+        F.struct("story_id", "at").alias("line_no"),
         "line",
     )
     return segment.segment_stories(blocks)

@@ -7,14 +7,11 @@ The result depends on the data alone, so lost executors cannot change it.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKET_BITS = 18
-RANGE_BUCKETS = 256
+RANGE_BUCKETS = 2048
 
 
 def int_div(a: Column, b: Column | int) -> Column:
@@ -30,16 +27,17 @@ def running_total(
     order_by: list[str],
     by: tuple[str, ...] = (),
     total: str | None = None,
-    few_buckets: bool = True,
 ) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows of the same ``by`` group.
 
     ``bucket`` must rise with ``order_by``. ``total`` names a column for the
-    group's whole sum. ``few_buckets`` says that the caller bounds the number of
-    buckets, so that their totals can be broadcast.
+    group's whole sum. Nulls in ``by`` are a group. Rows move once, by group and
+    bucket; the sums join them where they are.
     """
     by = list(by)
     rows = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("bigint"))
+    # Equality of structs takes nulls as equal, and the same key serves window and join.
+    rows = rows.withColumn("_place", F.struct(*by, "_bucket"))
     # An order inside the group only: the number of buckets bounds these rows.
     before = (
         Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,24 +45,17 @@ def running_total(
     whole = Window.partitionBy(*by)
     sums = rows.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
     bases = sums.select(
-        *by,
-        "_bucket",
+        F.struct(*by, "_bucket").alias("_place"),
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"),
         *([F.sum("_sum").over(whole).alias(total)] if total else []),
     )
     inside = (
-        Window.partitionBy(*by, "_bucket")
-        .orderBy(*order_by)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_place").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     )
     counted = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    keys = [*by, "_bucket"]
-    named = bases.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_base", *([total] if total else []))
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    joined = counted.join(F.broadcast(named) if few_buckets else named, same)
-    joined = joined.drop(*[f"_of_{k}" for k in keys])
+    joined = counted.join(bases, "_place")
     return joined.withColumn(name, F.col("_base") + F.col("_inside")).drop(
-        "_bucket", "_value", "_base", "_inside"
+        "_place", "_bucket", "_value", "_base", "_inside"
     )
 
 
@@ -72,14 +63,21 @@ def range_bucket(df: DataFrame, key: str, buckets: int = RANGE_BUCKETS) -> Colum
     """Bucket number of a numeric key, from approximate quantiles of the data.
 
     The driver receives at most ``buckets`` bounds. They only balance the work:
-    any bounds give the same positions.
+    any bounds give the same positions. A bucket is looked up in two steps, among
+    the first bounds of each run and then in the run.
     """
     shares = F.lit([i / buckets for i in range(1, buckets)])
-    row = df.agg(F.percentile_approx(key, shares, 10 * buckets).alias("bounds")).first()
+    row = df.agg(F.percentile_approx(key, shares, 4 * buckets).alias("bounds")).first()
     bounds = sorted(set(row["bounds"] or []))
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key)))
+    size = max(1, int(len(bounds) ** 0.5))
+    runs = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    below = lambda values: F.size(F.filter(values, lambda b: b <= F.col(key)))
+    run = below(F.lit([r[0] for r in runs]))
+    nested = F.array(*[F.lit(r) for r in runs])
+    inside = below(F.element_at(nested, F.greatest(run, F.lit(1))))
+    return F.when(run == 0, F.lit(0)).otherwise((run - 1) * size + inside)
 
 
 def row_index(
@@ -102,11 +100,18 @@ def feed_batches(stories: DataFrame, batch_size: int, key: str = "story_id") ->
 def first_stories(
     stories: DataFrame, max_stories: int | None, key: str = "story_id"
 ) -> DataFrame:
-    """The first ``max_stories`` of each split in key order; None or 0 keeps all."""
+    """The first ``max_stories`` of each split in key order; None or 0 keeps all.
+
+    Only keys are put in order. The last key of each split then filters the
+    stories where they are; that is a row per split. Keys are unique.
+    """
     if not max_stories:
         return stories
-    indexed = row_index(stories, key, "_index", by=("split",))
-    return indexed.where(F.col("_index") < max_stories).select(*stories.columns)
+    indexed = row_index(stories.select("split", key), key, "_index", by=("split",))
+    last = indexed.where(F.col("_index") < max_stories).groupBy("split").agg(F.max(key).alias("_last"))
+    last = F.broadcast(last.withColumnRenamed("split", "_split"))
+    kept = stories.join(last, F.col("split").eqNullSafe(F.col("_split")) & (F.col(key) <= F.col("_last")))
+    return kept.select(*stories.columns)
 
 
 def shuffle_key(seed: Column, ids: list[str]) -> Column:

@@ -64,7 +64,6 @@ def token_offsets(groups: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ())
         ["rank"],
         tuple(keys),
         total="group_tokens",
-        few_buckets=False,
     )
 
 

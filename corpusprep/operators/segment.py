@@ -28,7 +28,6 @@ def segment_stories(
         ["line_no"],
         by,
         total="_stories",
-        few_buckets=False,
     )
     # The tail leaves before stories are collected, so its size does not matter.
     kept = numbered.where(F.col("story_no") < F.col("_stories"))

@@ -14,6 +14,7 @@ class Parameters:
     seed: int = 7
     max_stories: int = 50
     feed_batch: int = 256
+    block_stories: int = 70
     vocab_size: int = 300
     context: int = 512
     workers: int = 3
