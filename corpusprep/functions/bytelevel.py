@@ -26,10 +26,11 @@ ID_OF_BYTE = {b: i for i, b in BYTE_OF_ID.items()}
 PRINTED = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(_SHIFTED)}
 
 # Code point 0 stands between words and the tokens follow, so that most byte
-# tokens take one byte in UTF-8. All symbols lie below the surrogates.
+# tokens take one byte in UTF-8. Surrogates are no characters and are skipped.
 WORD_BREAK = "\0"
 SYMBOL_BASE = 1
-MAX_TOKENS = 0xD800 - SYMBOL_BASE
+SURROGATES = range(0xD800, 0xE000)
+MAX_TOKENS = 0x110000 - len(SURROGATES) - SYMBOL_BASE
 EOS_SYMBOL = chr(SYMBOL_BASE + EOS_ID)
 
 _BYTE_CHARS = "".join(chr(b) for b in range(256))
@@ -37,11 +38,20 @@ _BYTE_SYMBOLS = "".join(chr(SYMBOL_BASE + ID_OF_BYTE[b]) for b in range(256))
 
 
 def symbol(token_id: int) -> str:
-    return chr(SYMBOL_BASE + token_id)
+    code = SYMBOL_BASE + token_id
+    return chr(code if code < SURROGATES.start else code + len(SURROGATES))
 
 
 def token_id(sym: str) -> int:
-    return ord(sym) - SYMBOL_BASE
+    code = ord(sym)
+    return (code if code < SURROGATES.start else code - len(SURROGATES)) - SYMBOL_BASE
+
+
+def symbol_id(sym: Column) -> Column:
+    """``token_id`` of the first character of a string column."""
+    code = F.ascii(sym)
+    skipped = F.when(code >= SURROGATES.stop, F.lit(len(SURROGATES))).otherwise(F.lit(0))
+    return (code - skipped - SYMBOL_BASE).cast("bigint")
 
 
 def byte_symbols(word: Column) -> Column:
@@ -53,4 +63,4 @@ def byte_symbols(word: Column) -> Column:
 def symbol_ids(symbols: Column) -> Column:
     """A string of symbols as an array of token ids."""
     letters = F.array_remove(F.split(symbols, ""), "")
-    return F.transform(letters, lambda s: (F.ascii(s) - SYMBOL_BASE).cast("bigint"))
+    return F.transform(letters, symbol_id)

@@ -8,6 +8,7 @@ equals merging the most frequent pair again and again.
 
 from __future__ import annotations
 
+import logging
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -25,10 +26,10 @@ from corpusprep.functions.bytelevel import (
     BYTE_OF_ID,
     EOS_ID,
     MAX_TOKENS,
-    SYMBOL_BASE,
     WORD_BREAK,
     byte_symbols,
     symbol,
+    symbol_id,
     token_id,
 )
 from corpusprep.functions.normalize import nfkc
@@ -47,6 +48,9 @@ CACHED_WORDS = 500_000
 LONG_WORD = 256
 
 
+LOG = logging.getLogger(__name__)
+
+
 class Merge(NamedTuple):
     left_id: int
     right_id: int
@@ -179,7 +183,7 @@ def pair_counts(table: DataFrame) -> DataFrame:
     """``(left_id, right_id, freq)`` of all neighbouring symbols."""
 
     def id_at(place: int) -> Column:
-        return (F.ascii(F.substring("pair", place, 1)) - SYMBOL_BASE).cast("bigint")
+        return symbol_id(F.substring("pair", place, 1))
 
     return symbol_pairs(table).select(
         id_at(1).alias("left_id"), id_at(2).alias("right_id"), "freq"
@@ -311,28 +315,33 @@ def train(counts: DataFrame, vocab_size: int, eos: str = EOS) -> Tokenizer:
     merges: list[Merge] = []
     batch: list[Merge] = []
     path, table, hot_pairs = None, symbol_words(counts), FIRST_HOT_PAIRS
-    while len(names) < vocab_size:
-        # The last merge of a batch may give a token that the others use.
-        merged = table.select(
-            apply_merges(apply_merges(F.col("symbols"), batch[:-1]), batch[-1:]).alias("symbols"),
-            "freq",
-        )
-        left = merged.where(F.length("symbols") > 1)
-        new_path = write_scratch(left if path else left.repartition(cores), "bpe-words")
+    rounds = 0
+    try:
+        while len(names) < vocab_size:
+            # The last merge of a batch may give a token that the others use.
+            merged = table.select(
+                apply_merges(apply_merges(F.col("symbols"), batch[:-1]), batch[-1:]).alias("symbols"),
+                "freq",
+            )
+            left = merged.where(F.length("symbols") > 1)
+            new_path = write_scratch(left if path else left.repartition(cores), "bpe-words")
+            if path:
+                drop_scratch(spark, path)
+            path = new_path
+            table = spark.read.schema(merged.schema).parquet(path)
+            batch, hot_pairs = next_merges(
+                table, hot_pairs, tokens, names, vocab_size - len(names)
+            )
+            rounds += 1
+            if not batch:
+                break
+            # A pair can only come up again through a reused token; its first rank counts.
+            known = {m[:2] for m in merges}
+            merges += [m for m in batch if m[:2] not in known]
+            LOG.info("round %d: %d merges, %d tokens", rounds, len(batch), len(names))
+    finally:
         if path:
             drop_scratch(spark, path)
-        path = new_path
-        table = spark.read.schema(merged.schema).parquet(path)
-        batch, hot_pairs = next_merges(
-            table, hot_pairs, tokens, names, vocab_size - len(names)
-        )
-        if not batch:
-            break
-        # A pair can only come up again through a reused token; its first rank counts.
-        known = {m[:2] for m in merges}
-        merges += [m for m in batch if m[:2] not in known]
-    if path:
-        drop_scratch(spark, path)
     return Tokenizer(tuple(merges), eos)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,13 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="corpusprep-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return own_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def own_folder(application: str) -> str:
+    """One folder per local application; the session's own settings stay as they are."""
+    return tempfile.mkdtemp(prefix="corpusprep-")
 
 
 def write_scratch(df: DataFrame, name: str) -> str:
