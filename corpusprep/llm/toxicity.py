@@ -8,16 +8,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import documents, id_and_text
+from corpusprep.llm.common import documents, hash_map, id_and_text, in_map
+from corpusprep.sources.scratch import materialize
 
 #: At most about this many labelled documents of each label fit the model.
 SAMPLE_PER_LABEL = 6000
 #: Features known to the model: those most telling among all labelled documents.
 VOCABULARY = 20_000
 ROUNDS = 300
+COUNTED_TOGETHER = 4000  # documents whose features a task counts before it passes them on
 RATE = 0.3
 DECAY = 1e-4
 FIRST_BIAS = -7.0
@@ -70,8 +73,8 @@ def telling_words(labelled: DataFrame, size: int) -> list[str]:
 
     def count(batches):
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), COUNTED_TOGETHER):
+                some = batch.iloc[at : at + COUNTED_TOGETHER]
                 bad, every = Counter(), Counter()
                 for text, toxic in zip(some["text"], some["toxic"]):
                     found = features(text or "")
@@ -91,6 +94,22 @@ def telling_words(labelled: DataFrame, size: int) -> list[str]:
     return [r.word for r in top.orderBy(F.desc("s"), "word").limit(size).collect()]
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The join of texts and labels; texts surely without a label stay out of its shuffle."""
+    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"])))
+    marks = docs.sparkSession.sparkContext.broadcast(hash_map(known, "h"))
+
+    def likely(batches):
+        for batch in batches:
+            kept = in_map(marks.value, batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(kept))
+
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text string, h bigint"
+    # Labels grow with the corpus, so they are joined by a shuffle at every size.
+    return hashed.mapInArrow(likely, schema).join(known.drop("h").hint("merge"), "doc_id").drop("h")
+
+
 def fit(rows: list[tuple[str, int]], vocabulary: list[str], rate_of_label: float) -> Model:
     """Maximum likelihood of the labels under the noisy-or, by Adagrad on all rows.
 
@@ -145,7 +164,7 @@ def train(
     counts. Without labelled rows no word is known and every score is the floor.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.expr("int(toxic > 0)")).alias("toxic"))
-    labelled = id_and_text(docs).where("text is not null").join(known, "doc_id")
+    labelled = materialize(labelled_texts(id_and_text(docs).where("text is not null"), known), "labelled")
     counts = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model({}, FIRST_BIAS, 0.0)
@@ -210,3 +229,14 @@ def op7_toxicity(spark, sf_dir):
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         F.array_join(spans, ",").alias("offending"),
     )
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with a score below ``THRESHOLD``, all columns unchanged."""
+
+    def choose(batches):
+        for batch in batches:
+            found = (model.combine([p for *_, p in model.sentences(t)]) for t in batch["text"].to_pylist())
+            yield batch.filter(pa.array([score < THRESHOLD for score in found], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
