@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.llm.common import (
-    NULL_ID,
     bucket_count,
     bucketed,
     documents,
