@@ -211,6 +211,12 @@ def encode_stories(spark, sf_dir):
     return rows.select("story_id", "split", joined("input_ids"))
 
 
+def token_use(spark, sf_dir):
+    tokenizer = trained(spark, sf_dir)
+    rows = encode.encode(records(spark, sf_dir), tokenizer)
+    return encode.token_use(rows, tokenizer).select("token_id", "uses")
+
+
 def decode_roundtrip(spark, sf_dir):
     tokenizer = trained(spark, sf_dir)
     rows = encode.encode(records(spark, sf_dir).select("story_id", "text"), tokenizer)
@@ -465,6 +471,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bpe_merges": bpe_merges,
         "vocab": vocab,
         "encode_stories": encode_stories,
+        "token_use": token_use,
         "decode_roundtrip": decode_roundtrip,
         "chunk_tokens": chunk_tokens,
         "chunk_features": chunk_features,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusprep.functions.bytelevel import EOS_ID, WORD_BREAK, symbol_ids
 from corpusprep.functions.normalize import nfkc_parts
 from corpusprep.functions.pretokenize import join_segments, segment_symbols, segments
-from corpusprep.operators.bpe import Tokenizer, apply_merges
+from corpusprep.operators.bpe import Tokenizer, apply_merges, vocab_table
 
 
 def text_symbols(text: Column, eos: str) -> Column:
@@ -44,6 +44,15 @@ def decode(
     return rows.withColumn(name, F.make_valid_utf8(raw.cast("string"))).drop(ids)
 
 
+def token_use(rows: DataFrame, tokenizer: Tokenizer, ids: str = "input_ids") -> DataFrame:
+    """``(token_id, token, special, uses)`` for every token of the vocabulary."""
+    used = rows.select(F.explode(ids).alias("token_id")).groupBy("token_id")
+    counts = used.agg(F.count(F.lit(1)).alias("uses"))
+    vocab = vocab_table(rows.sparkSession, tokenizer)
+    uses = F.coalesce("uses", F.lit(0)).cast("bigint")
+    return vocab.join(counts, "token_id", "left").withColumn("uses", uses)
+
+
 def chunk_tokens(rows: DataFrame, context_length: int, ids: str = "input_ids") -> DataFrame:
     """Cut token ids into runs of ``context_length``; the last may be short."""
     count = F.greatest(F.ceil(F.size(ids) / context_length), F.lit(1)).cast("int")

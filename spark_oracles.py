@@ -301,6 +301,11 @@ FROM tokens WHERE rank = {_ROUNDS}""",
     "encode_stories": f"""
 WITH RECURSIVE {training()}
 SELECT story_id, split, {numbers("ids")} AS input_ids FROM encoded""",
+    "token_use": f"""
+WITH RECURSIVE {training()},
+used AS (SELECT token_id, count(*) AS n FROM (SELECT unnest(ids) AS token_id FROM encoded) GROUP BY token_id)
+SELECT t.i::BIGINT AS token_id, coalesce(n, 0)::BIGINT AS uses
+FROM range(0, {Q.vocab_size}) t(i) LEFT JOIN used ON used.token_id = t.i""",
     "decode_roundtrip": f"""
 WITH {records()}
 SELECT story_id, CASE WHEN text LIKE ' %' THEN text ELSE ' ' || text END AS text FROM records""",
