@@ -84,6 +84,14 @@ def id_array(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, mask=ids == NULL_ID)
 
 
+def small_batches(batches, column: str = "text", size: int = 2 * CHUNK_BYTES):
+    """Arrow batches cut to about ``size`` bytes of text, so that arrays per word stay small."""
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy()
+        for a, b in chunks(np.concatenate(([0], np.cumsum(length, dtype=np.int64))), size):
+            yield batch.slice(a, b - a)
+
+
 class Words(NamedTuple):
     """Words of many texts in order: byte bounds, hash, and the first word of each text."""
 

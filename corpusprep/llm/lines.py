@@ -18,6 +18,7 @@ from corpusprep.llm.common import (
     in_map,
     mix,
     planes,
+    small_batches,
     texts_of,
     words_of,
 )
@@ -27,10 +28,11 @@ from corpusprep.sources.scratch import materialize
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that all bounds are exact
 COUNTERS = 1 << 18  # of word frequencies; any order is a right one, a good one is fast
 PART_WORDS = 2_000_000  # words of the input for each group of postings
-MORE_CANDIDATES = 8  # factor from round to round
+MOST_WIDTH = 64  # 64-bit words of a signature at most
+LOOKED_AT = 8  # candidates at a rare word of which the first round tries the nearest
 
 POSTINGS = "part int, tokens binary, docs binary, lines binary, sizes binary, places binary, marks binary, checks binary"
-KINDS = {"tokens": "<u4", "docs": "<i8", "lines": "<u4", "sizes": "<u4", "places": "<u4", "marks": "<u8", "checks": "<u4"}
+KINDS = {"tokens": "<u4", "docs": "<i8", "lines": "<u4", "sizes": "<u4", "places": "<u4", "checks": "<u4"}
 CANDIDATES = "doc bigint, line bigint, other_doc bigint, other_line bigint, more boolean"
 
 
@@ -53,11 +55,10 @@ def lines_of(column, rank: np.ndarray | None = None) -> Lines:
     before = np.searchsorted(ends, found.starts)
     line = before + row
     slot = (found.hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
-    key = line * COUNTERS + (slot if rank is None else rank[slot])
-    order = np.lexsort((found.hashes, key))
-    words, key = found.hashes[order], key[order]
+    order = word_order(line, slot if rank is None else rank[slot], found.hashes)
+    words, sorted_line = found.hashes[order], line[order]
     new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (key[1:] != key[:-1])
+    new[1:] = (words[1:] != words[:-1]) | (sorted_line[1:] != sorted_line[:-1])
     words, order = words[new], order[new]
     line = line[order]
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
@@ -67,6 +68,71 @@ def lines_of(column, rank: np.ndarray | None = None) -> Lines:
     return Lines(words, np.append(first, len(words)), row[at], number, mix(total))
 
 
+def word_order(line: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by line, rank and hash; one packed key does unless two words share it."""
+    if len(line) and line[-1] < 1 << 22:
+        packed = (line.astype(np.uint64) << np.uint64(42)) | (rank.astype(np.uint64) << np.uint64(24))
+        packed |= hashes >> np.uint64(40)
+        order = np.argsort(packed)
+        key, word = packed[order], hashes[order]
+        if not ((key[1:] == key[:-1]) & (word[1:] != word[:-1])).any():
+            return order
+    return np.lexsort((hashes, rank, line))
+
+
+def widths(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words in the signature of a set: about a bit for each member, a power of two."""
+    return np.minimum(MOST_WIDTH, 2 ** np.ceil(np.log2(np.maximum(1, sizes / 64))).astype(np.int64))
+
+
+def signatures(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's parity of members per bit, one set after the other, and where they start.
+
+    Two sets differ in at least as many members as their signatures do in bits. A
+    wide signature folds to a narrow one by the exclusive or of its halves.
+    """
+    sizes = np.diff(first)
+    width = widths(sizes)
+    start = np.concatenate(([0], np.cumsum(width)))
+    bit = (words >> np.uint64(20)) & np.repeat((64 * width - 1).astype(np.uint64), sizes)
+    out = np.zeros(start[-1], np.uint64)
+    at = np.repeat(start[:-1], sizes) + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+    return out, start
+
+
+class Folded:
+    """Signatures of all widths, to compare any two at the narrower one's width."""
+
+    def __init__(self, marks: np.ndarray, sizes: np.ndarray) -> None:
+        self.width = widths(sizes)
+        start = np.concatenate(([0], np.cumsum(self.width)))[:-1]
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wider, w = None, int(self.width.max(initial=1))
+        while w:
+            rows = np.flatnonzero(self.width >= w)
+            place = np.full(len(sizes), -1)
+            place[rows] = np.arange(len(rows))
+            table = np.zeros((len(rows), w), np.uint64)
+            own = self.width[rows] == w
+            table[own] = marks[start[rows[own]][:, None] + np.arange(w)]
+            if wider is not None:
+                both, known = wider
+                folded = both[:, :w] ^ both[:, w:]
+                table[~own] = folded[known[rows[~own]]]
+            self.tables[w] = wider = (table, place)
+            w //= 2
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        width = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width):
+            mine = np.flatnonzero(width == w)
+            table, place = self.tables[int(w)]
+            out[mine] = np.bitwise_count(table[place[a[mine]]] ^ table[place[b[mine]]]).sum(axis=1)
+        return out
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """One row per line with words (``counter`` is null) and the counts of words.
 
@@ -76,7 +142,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def read(batches):
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             found = lines_of(batch["text"])
             slots = (found.words & np.uint64(COUNTERS - 1)).astype(np.int64)
             counts += np.bincount(slots, minlength=COUNTERS)
@@ -115,15 +181,19 @@ def prefix_sizes(sizes: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     return sizes - -(-num * sizes // den) + 1
 
 
-def postings(docs: DataFrame, rank: np.ndarray, parts: int, similarity: tuple[int, int]) -> DataFrame:
+def postings(
+    docs: DataFrame, rank: np.ndarray, parts: int, similarity: tuple[int, int], asked: bytes | None
+) -> DataFrame:
     """Prefix words with place, size and a signature of the set, dealt by the word's hash.
 
     Of equal sets in a batch only the first is sent: the others are no first match.
+    ``asked`` is a map of the words that are wanted, None of all.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(rank)
+    wanted = docs.sparkSession.sparkContext.broadcast(asked)
 
     def send(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = lines_of(batch["text"], broadcast.value)
             sizes = np.diff(found.first)
             doc = ids_of(batch["doc_id"])[found.row]
@@ -133,10 +203,11 @@ def postings(docs: DataFrame, rank: np.ndarray, parts: int, similarity: tuple[in
             place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             line = np.repeat(chosen, count)
             token = found.words[found.first[line] + place]
-            bits = np.uint64(1) << (found.words >> np.uint64(20) & np.uint64(63))
-            marks = np.bitwise_xor.reduceat(bits, found.first[:-1]) if len(sizes) else bits
+            marks, mark_start = signatures(found.words, found.first)
             token = mix(token)
             order = np.argsort(token, kind="stable")
+            if asked is not None:
+                order = order[in_map(wanted.value, token[order])]
             token, line, place = token[order], line[order], place[order]
             columns = {
                 "tokens": token.astype("<u4"),
@@ -144,29 +215,42 @@ def postings(docs: DataFrame, rank: np.ndarray, parts: int, similarity: tuple[in
                 "lines": found.number[line].astype("<u4"),
                 "sizes": sizes[line].astype("<u4"),
                 "places": place.astype("<u4"),
-                "marks": marks[line],
                 "checks": (found.hash[line] >> np.uint64(32)).astype("<u4"),
             }
             cuts = list(part_slices(token, parts))
             rows = {"part": pa.array([p for p, _ in cuts], pa.int32())}
             rows |= {n: pa.array([planes(np.ascontiguousarray(v[s])) for _, s in cuts], pa.binary()) for n, v in columns.items()}
-            yield pa.RecordBatch.from_pydict(rows)
+            rows["marks"] = pa.array([marks[spread_out(mark_start, line[s])].tobytes() for _, s in cuts], pa.binary())
+            yield pa.RecordBatch.from_pydict({n.split()[0]: rows[n.split()[0]] for n in POSTINGS.split(", ")})
 
     return docs.select("doc_id", "text").mapInArrow(send, POSTINGS)
 
 
-def earliest_candidates(table: pa.Table, limit: int, similarity: tuple[int, int], asked: bytes | None) -> pa.Table:
-    """For every line its first ``limit`` earlier lines at each shared word that pass all filters.
+def spread_out(start: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Positions of the chosen sets' signature words, one set after the other."""
+    count = start[chosen + 1] - start[chosen]
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(start[chosen], count) + within
+
+
+def candidates_of(table: pa.Table, similarity: tuple[int, int], asked: bytes | None) -> pa.Table:
+    """Earlier lines that share a rare word with a line and pass all filters.
 
     The filters are bounds that no similar pair fails: sizes, the places of the
-    shared word, and the bits in which the signatures differ. ``more`` says that
-    further lines pass. Equal sets are left to the exact step. Lines are compared
-    in step with the first, second, ... line of their word's group.
+    shared word, and the bits in which the signatures differ. Equal sets are left to
+    the exact step. Lines are compared in step with the first, second, ... line of
+    their word's group. The first round (``asked`` is None) takes of the first
+    ``LOOKED_AT`` that pass the one whose signature is nearest, ``more`` says that
+    others pass; for the lines in the map ``asked`` all that pass are taken.
     """
     num, den = similarity
     c = {n: np.concatenate([from_planes(x.as_py(), k) for x in table[n]]) for n, k in KINDS.items()}
+    marks = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["marks"]])
     order = np.lexsort((c["lines"], c["docs"], c["tokens"]))
+    mark_start = np.concatenate(([0], np.cumsum(widths(c["sizes"].astype(np.int64)))))
+    marks = marks[spread_out(mark_start, order)]
     c = {n: v[order] for n, v in c.items()}
+    folded = Folded(marks, c["sizes"].astype(np.int64))
     token = c["tokens"]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
@@ -176,7 +260,8 @@ def earliest_candidates(table: pa.Table, limit: int, similarity: tuple[int, int]
     left = np.flatnonzero(index > 0)
     if asked is not None:
         left = left[in_map(asked, line_hash(c["docs"][left], c["lines"][left].astype(np.int64)))]
-    hits = np.zeros(len(token), np.int64)
+    hits, nearest = np.zeros(len(token), np.int64), np.full(len(token), -1)
+    distance = np.full(len(token), np.iinfo(np.int64).max)
     out, step = [], 0
     while len(left):
         x = start[left] + step
@@ -185,25 +270,34 @@ def earliest_candidates(table: pa.Table, limit: int, similarity: tuple[int, int]
         good = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (
             np.minimum(pa_, pb) + 1 + np.minimum(a - pa_, b - pb) - 1 >= need
         )
-        differ = np.bitwise_count(c["marks"][left] ^ c["marks"][x]).astype(np.int64)
-        good &= differ <= a + b - 2 * need
-        good &= ~((differ == 0) & (a == b) & (c["checks"][left] == c["checks"][x]))
-        earlier = (c["docs"][x] != c["docs"][left]) | (c["lines"][x] != c["lines"][left])
-        good &= earlier
-        hits[left[good]] += 1
-        kept = good & (hits[left] <= limit)
-        out.append(np.column_stack([left[kept], x[kept]]))
+        good &= (c["docs"][x] != c["docs"][left]) | (c["lines"][x] != c["lines"][left])
+        some = np.flatnonzero(good)
+        differ = folded.differ(left[some], x[some])
+        equal = (differ == 0) & (a == b)[some] & (c["checks"][left[some]] == c["checks"][x[some]])
+        excess = differ - (a + b - 2 * need)[some]
+        passed = (excess <= 0) & ~equal
+        y, x, excess = left[some][passed], x[some][passed], excess[passed]
+        hits[y] += 1
         step += 1
-        left = left[(hits[left] <= limit) & (index[left] > step)]
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    y, x = pairs[:, 0], pairs[:, 1]
+        if asked is None:
+            nearer = excess < distance[y]
+            distance[y[nearer]], nearest[y[nearer]] = excess[nearer], x[nearer]
+            left = left[hits[left] < LOOKED_AT]
+        else:
+            out.append(np.column_stack([y, x]))
+        left = left[index[left] > step]
+    if asked is None:
+        y = np.flatnonzero(nearest >= 0)
+        x = nearest[y]
+    else:
+        y, x = np.concatenate([np.zeros((0, 2), np.int64), *out]).T
     return pa.table(
         {
             "doc": pa.array(c["docs"][y]),
             "line": pa.array(c["lines"][y].astype(np.int64)),
             "other_doc": pa.array(c["docs"][x]),
             "other_line": pa.array(c["lines"][x].astype(np.int64)),
-            "more": pa.array(hits[y] > limit),
+            "more": pa.array((hits[y] > 1) & (asked is None)),
         }
     )
 
@@ -241,7 +335,7 @@ def verified(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int]
     )
 
     def fetch(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = lines_of(batch["text"])
             place = {(int(r), int(n)): i for i, (r, n) in enumerate(zip(found.row, found.number))}
             rows = []
@@ -264,7 +358,7 @@ def verified(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int]
     asked = candidates.select("doc").distinct()
 
     def compare(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = lines_of(batch["text"])
             place = {(int(r), int(n)): i for i, (r, n) in enumerate(zip(found.row, found.number))}
             best: dict[tuple[int, int, int], bool] = {}
@@ -295,36 +389,61 @@ def verified(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int]
 def similar_lines(docs: DataFrame, table: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``doc``, ``line``, ``hash`` of the lines with a similar, not equal, earlier line.
 
-    The first round takes of every line the earliest candidate at each of its rare
-    words, so a large group of near copies sends a few rows per line, not all pairs.
-    Lines whose candidates all fail and that have more are asked again with more.
+    The first round tries one candidate of a line at each of its rare words, so a
+    large group of near copies sends a few rows per line, not all pairs. Lines whose
+    candidates all fail and that have more are then compared with all the others.
     """
     words = table.where("counter is not null").agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // PART_WORDS))
-    posted = postings(docs, word_ranks(table), parts, similarity)
-    spark, asked, limit, found = docs.sparkSession, None, 1, []
-    while True:
-        rows = posted.groupBy("part").applyInArrow(candidate_finder(spark, limit, similarity, asked), CANDIDATES)
-        pairs = ["doc", "line", "other_doc", "other_line"]
-        rows = materialize(rows.groupBy(*pairs).agg(F.max("more").alias("more")), "candidates")
-        checked = materialize(verified(docs, rows, similarity), "checked")
-        found.append(checked.where("similar").select("doc", "line", "hash"))
-        again = rows.where("more").select("doc", "line").distinct().join(
-            checked.groupBy("doc", "line").agg(F.max("similar").alias("similar")).where("not similar"), ["doc", "line"]
-        )
-        again = materialize(again.select("doc", "line"), "again")
-        if again.isEmpty():
-            break
-        asked, limit = line_map(again), limit * MORE_CANDIDATES
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def candidate_finder(spark, limit: int, similarity: tuple[int, int], asked: bytes | None):
+    rank = word_ranks(table)
+    rows, checked = tried(docs, rank, parts, similarity)
+    similar = checked.where("similar").select("doc", "line", "hash")
+    failed = checked.groupBy("doc", "line").agg(F.max("similar").alias("similar")).where("not similar")
+    again = rows.where("more").select("doc", "line").distinct().join(failed, ["doc", "line"])
+    again = materialize(again.select("doc", "line"), "again")
+    if again.isEmpty():
+        return similar
+    _, rest = tried(docs, rank, parts, similarity, line_map(again), rare_words(docs, again, rank, similarity))
+    return similar.unionByName(rest.where("similar").select("doc", "line", "hash"))
+
+
+def tried(
+    docs: DataFrame,
+    rank: np.ndarray,
+    parts: int,
+    similarity: tuple[int, int],
+    asked: bytes | None = None,
+    wanted: bytes | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The candidates of a round and what became of them, as written tables."""
+    posted = postings(docs, rank, parts, similarity, wanted)
+    rows = posted.groupBy("part").applyInArrow(candidate_finder(docs.sparkSession, similarity, asked), CANDIDATES)
+    pairs = ["doc", "line", "other_doc", "other_line"]
+    rows = materialize(rows.groupBy(*pairs).agg(F.max("more").alias("more")), "candidates")
+    return rows, materialize(verified(docs, rows, similarity), "checked")
+
+
+def rare_words(docs: DataFrame, asked: DataFrame, rank: np.ndarray, similarity: tuple[int, int]) -> bytes:
+    """A map of the prefix words of the lines asked for."""
+    ranks = docs.sparkSession.sparkContext.broadcast(rank)
+    of_doc = asked.groupBy("doc").agg(F.collect_list("line").alias("asked"))
+
+    def take(batches):
+        for batch in small_batches(batches):
+            found = lines_of(batch["text"], ranks.value)
+            wanted = [set(x) for x in batch["asked"].to_pylist()]
+            mine = [i for i, (r, n) in enumerate(zip(found.row.tolist(), found.number.tolist())) if n in wanted[r]]
+            counts = prefix_sizes(np.diff(found.first), similarity)
+            words = [found.words[found.first[i] : found.first[i] + counts[i]] for i in mine]
+            words = np.concatenate([*words, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_pydict({"h": pa.array(mix(words).view(np.int64))})
+
+    return hash_map(texts_with(docs, of_doc).mapInArrow(take, "h bigint"), "h")
+
+
+def candidate_finder(spark, similarity: tuple[int, int], asked: bytes | None):
     marks = None if asked is None else spark.sparkContext.broadcast(asked)
-    return lambda group: earliest_candidates(group, limit, similarity, marks and marks.value)
+    return lambda group: candidates_of(group, similarity, marks and marks.value)
 
 
 def line_map(lines: DataFrame) -> bytes:
@@ -376,7 +495,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
         return choose
 
     def cut(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch["text"].to_pylist()
             gone = batch["gone"].to_pylist() if "gone" in batch.schema.names else [None] * len(texts)
             drop: list[set[int]] = [set() for _ in texts]
@@ -402,7 +521,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
             )
 
     schema = f"doc_id {kind}, text string, rest {rest}, h bigint"
-    clean = keyed.mapInArrow(deal(False), schema).mapInArrow(cut, out)
+    clean = keyed.mapInArrow(lambda batches: cut(deal(False)(batches)), out)
     touched = keyed.mapInArrow(deal(True), schema)
     touched = touched.withColumn("doc", key_of(touched)).join(of_doc, "doc", "left")
     return clean.unionByName(touched.select("doc_id", "text", "rest", "gone").mapInArrow(cut, out))
