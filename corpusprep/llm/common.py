@@ -90,6 +90,8 @@ def small_batches(batches, column: str = "text", size: int = 2 * CHUNK_BYTES):
         length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy()
         for a, b in chunks(np.concatenate(([0], np.cumsum(length, dtype=np.int64))), size):
             yield batch.slice(a, b - a)
+        del batch, length
+        pa.default_memory_pool().release_unused()  # workers live on after their task
 
 
 class Words(NamedTuple):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from typing import NamedTuple
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import documents, hash_map, id_and_text, in_map
+from corpusprep.llm.common import documents, hash_map, id_and_text, in_map, small_batches
 from corpusprep.sources.scratch import materialize
 
 #: At most about this many labelled documents of each label fit the model.
@@ -20,7 +21,7 @@ SAMPLE_PER_LABEL = 6000
 #: Features known to the model: those most telling among all labelled documents.
 VOCABULARY = 20_000
 ROUNDS = 300
-COUNTED_TOGETHER = 4000  # documents whose features a task counts before it passes them on
+COUNTED_TOGETHER = 1000  # documents whose features a task counts before it passes them on
 RATE = 0.3
 DECAY = 1e-4
 FIRST_BIAS = -7.0
@@ -117,15 +118,15 @@ def fit(rows: list[tuple[str, int]], vocabulary: list[str], rate_of_label: float
     gradient reaches a sentence in proportion to how much the sentence explains.
     """
     number = {w: i for i, w in enumerate(vocabulary)}
-    words, sentence_starts, sentence_doc = [], [], []
+    words, sentence_starts, sentence_doc = array("i"), array("q"), array("q")
     for doc, (text, _) in enumerate(rows):
         for sentence in SENTENCE.split(text or ""):
             known = sorted(number[w] for w in features(sentence) & number.keys())
             if known:
                 sentence_starts.append(len(words))
                 sentence_doc.append(doc)
-                words += known
-    words, starts, doc = np.array(words, np.int64), np.array(sentence_starts, np.int64), np.array(sentence_doc, np.int64)
+                words.extend(known)
+    words, starts, doc = (np.array(x) for x in (words, sentence_starts, sentence_doc))
     toxic = np.array([y for _, y in rows], float)
     # The sample has more toxic rows than the corpus; weights give both labels their share.
     share = toxic.mean() if len(toxic) else 0.5
@@ -235,7 +236,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a score below ``THRESHOLD``, all columns unchanged."""
 
     def choose(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             found = (model.combine([p for *_, p in model.sentences(t)]) for t in batch["text"].to_pylist())
             yield batch.filter(pa.array([score < THRESHOLD for score in found], pa.bool_()))
 
