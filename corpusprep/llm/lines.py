@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.llm.common import (
+    BASE,
     NOT_ALPHANUMERIC,
     documents,
     from_planes,
@@ -30,9 +31,12 @@ COUNTERS = 1 << 18  # of word frequencies; any order is a right one, a good one
 PART_WORDS = 2_000_000  # words of the input for each group of postings
 MOST_WIDTH = 64  # 64-bit words of a signature at most
 LOOKED_AT = 8  # candidates at a rare word of which the first round tries the nearest
+SLICE_LINES = 1 << 15  # a word that more lines may hold has its lines dealt over slices
+PAIRS_PER_SALT = 4096  # later lines that meet one copy of an earlier line's words
+GUEST, SLICED = 1, 2
 
-POSTINGS = "part int, tokens binary, docs binary, lines binary, sizes binary, places binary, marks binary, checks binary"
-KINDS = {"tokens": "<u4", "docs": "<i8", "lines": "<u4", "sizes": "<u4", "places": "<u4", "checks": "<u4"}
+POSTINGS = "part int, tokens binary, docs binary, lines binary, sizes binary, places binary, marks binary, checks binary, flags binary"
+KINDS = {"tokens": "<u4", "docs": "<i8", "lines": "<u4", "sizes": "<u4", "places": "<u4", "checks": "<u4", "flags": "<u1"}
 CANDIDATES = "doc bigint, line bigint, other_doc bigint, other_line bigint, more boolean"
 
 
@@ -165,14 +169,14 @@ def line_table(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "text").mapInArrow(read, schema), "lines")
 
 
-def word_ranks(table: DataFrame) -> np.ndarray:
-    """The place of every counter in the order of rising counts."""
+def word_ranks(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every counter in the order of rising counts, and its words' slices."""
     counts = np.zeros(COUNTERS, np.int64)
     for row in table.where("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         counts[row.counter] = row.n
     rank = np.empty(COUNTERS, np.int64)
     rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS)
-    return rank
+    return rank, np.maximum(1, -(-counts // SLICE_LINES))
 
 
 def prefix_sizes(sizes: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -182,19 +186,29 @@ def prefix_sizes(sizes: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
 
 
 def postings(
-    docs: DataFrame, rank: np.ndarray, parts: int, similarity: tuple[int, int], asked: bytes | None
+    docs: DataFrame,
+    rank: np.ndarray,
+    slices: np.ndarray,
+    parts: int,
+    similarity: tuple[int, int],
+    wanted: bytes | None,
+    asked: bytes | None,
 ) -> DataFrame:
     """Prefix words with place, size and a signature of the set, dealt by the word's hash.
 
     Of equal sets in a batch only the first is sent: the others are no first match.
-    ``asked`` is a map of the words that are wanted, None of all.
+    ``wanted`` is a map of the words that are wanted, None of all. The lines of a
+    frequent word are dealt over its slices; a line in the map ``asked`` is a guest
+    in all other slices too, where others are not compared with it.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(rank)
-    wanted = docs.sparkSession.sparkContext.broadcast(asked)
+    broadcast = docs.sparkSession.sparkContext.broadcast((rank, slices))
+    maps = docs.sparkSession.sparkContext.broadcast((wanted, asked))
 
     def send(batches):
         for batch in small_batches(batches):
-            found = lines_of(batch["text"], broadcast.value)
+            ranks, slices_of = broadcast.value
+            words_wanted, lines_asked = maps.value
+            found = lines_of(batch["text"], ranks)
             sizes = np.diff(found.first)
             doc = ids_of(batch["doc_id"])[found.row]
             order = np.lexsort((found.number, doc, found.hash))
@@ -204,11 +218,25 @@ def postings(
             line = np.repeat(chosen, count)
             token = found.words[found.first[line] + place]
             marks, mark_start = signatures(found.words, found.first)
+            many = slices_of[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
             token = mix(token)
+            if words_wanted is not None:
+                kept = in_map(words_wanted, token)
+                token, line, place, many = token[kept], line[kept], place[kept], many[kept]
+            key = line_hash(doc[line], found.number[line])
+            at = (key % many.astype(np.uint64)).astype(np.int64)
+            flags = np.where(many > 1, SLICED, 0)
+            if lines_asked is not None:
+                guest = np.flatnonzero((many > 1) & in_map(lines_asked, key))
+                times = many[guest] - 1
+                guest = np.repeat(guest, times)
+                turn = np.arange(len(guest)) - np.repeat(np.cumsum(times) - times, times) + 1
+                at = np.concatenate([at, (at[guest] + turn) % many[guest]])
+                token, line, place = (np.concatenate([v, v[guest]]) for v in (token, line, place))
+                flags = np.concatenate([flags, np.full(len(guest), SLICED | GUEST)])
+            token = np.where(at > 0, mix(token + at.astype(np.uint64) * BASE), token)
             order = np.argsort(token, kind="stable")
-            if asked is not None:
-                order = order[in_map(wanted.value, token[order])]
-            token, line, place = token[order], line[order], place[order]
+            token, line, place, flags = token[order], line[order], place[order], flags[order]
             columns = {
                 "tokens": token.astype("<u4"),
                 "docs": doc[line],
@@ -216,6 +244,7 @@ def postings(
                 "sizes": sizes[line].astype("<u4"),
                 "places": place.astype("<u4"),
                 "checks": (found.hash[line] >> np.uint64(32)).astype("<u4"),
+                "flags": flags.astype("<u1"),
             }
             cuts = list(part_slices(token, parts))
             rows = {"part": pa.array([p for p, _ in cuts], pa.int32())}
@@ -241,7 +270,9 @@ def candidates_of(table: pa.Table, similarity: tuple[int, int], asked: bytes | N
     the exact step. Lines are compared in step with the first, second, ... line of
     their word's group. The first round (``asked`` is None) takes of the first
     ``LOOKED_AT`` that pass the one whose signature is nearest, ``more`` says that
-    others pass; for the lines in the map ``asked`` all that pass are taken.
+    others pass; for the lines in the map ``asked`` all that pass are taken. In the
+    first round a line in a slice of a word has ``more`` in any case, for the other
+    slices, and a row without another line if none passes.
     """
     num, den = similarity
     c = {n: np.concatenate([from_planes(x.as_py(), k) for x in table[n]]) for n, k in KINDS.items()}
@@ -271,6 +302,7 @@ def candidates_of(table: pa.Table, similarity: tuple[int, int], asked: bytes | N
             np.minimum(pa_, pb) + 1 + np.minimum(a - pa_, b - pb) - 1 >= need
         )
         good &= (c["docs"][x] != c["docs"][left]) | (c["lines"][x] != c["lines"][left])
+        good &= c["flags"][x] & GUEST == 0
         some = np.flatnonzero(good)
         differ = folded.differ(left[some], x[some])
         equal = (differ == 0) & (a == b)[some] & (c["checks"][left[some]] == c["checks"][x[some]])
@@ -286,8 +318,9 @@ def candidates_of(table: pa.Table, similarity: tuple[int, int], asked: bytes | N
         else:
             out.append(np.column_stack([y, x]))
         left = left[index[left] > step]
+    sliced = c["flags"] & SLICED > 0
     if asked is None:
-        y = np.flatnonzero(nearest >= 0)
+        y = np.flatnonzero((nearest >= 0) | sliced)
         x = nearest[y]
     else:
         y, x = np.concatenate([np.zeros((0, 2), np.int64), *out]).T
@@ -295,9 +328,9 @@ def candidates_of(table: pa.Table, similarity: tuple[int, int], asked: bytes | N
         {
             "doc": pa.array(c["docs"][y]),
             "line": pa.array(c["lines"][y].astype(np.int64)),
-            "other_doc": pa.array(c["docs"][x]),
-            "other_line": pa.array(c["lines"][x].astype(np.int64)),
-            "more": pa.array((hits[y] > 1) & (asked is None)),
+            "other_doc": pa.array(c["docs"][x], mask=x < 0),
+            "other_line": pa.array(c["lines"][x].astype(np.int64), mask=x < 0),
+            "more": pa.array(((hits[y] > 1) | sliced[y]) & (asked is None)),
         }
     )
 
@@ -324,66 +357,54 @@ def key_of(docs: DataFrame):
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
 
 
-def verified(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``doc``, ``line``, ``hash``, ``similar`` for every candidate line, by exact Jaccard.
-
-    The words of the earlier lines travel to the texts of the later ones.
-    """
-    num, den = similarity
-    wanted = candidates.groupBy(F.col("other_doc").alias("doc")).agg(
-        F.collect_list(F.struct("other_line", F.col("doc").alias("to_doc"), F.col("line").alias("to_line"))).alias("asked")
-    )
+def words_table(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``doc``, ``line``, ``hash`` and ``words`` of the given lines, each version of a line once."""
+    wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("asked"))
 
     def fetch(batches):
         for batch in small_batches(batches):
             found = lines_of(batch["text"])
-            place = {(int(r), int(n)): i for i, (r, n) in enumerate(zip(found.row, found.number))}
-            rows = []
-            for r, asked in enumerate(batch["asked"].to_pylist()):
-                for a in asked:
-                    i = place.get((r, a["other_line"]))
-                    if i is not None:
-                        words = np.sort(found.words[found.first[i] : found.first[i + 1]])
-                        rows.append((a["to_doc"], a["to_line"], planes(words)))
+            asked = [set(x) for x in batch["asked"].to_pylist()]
+            mine = [i for i, (r, n) in enumerate(zip(found.row.tolist(), found.number.tolist())) if n in asked[r]]
+            mine = np.array(mine, np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.diff(found.first)[mine])))
+            words = found.words[spread_out(found.first, mine)].view(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc": pa.array([x for x, _, _ in rows], pa.int64()),
-                    "line": pa.array([x for _, x, _ in rows], pa.int64()),
-                    "words": pa.array([x for *_, x in rows], pa.binary()),
+                    "doc": batch["doc"].take(pa.array(found.row[mine])),
+                    "line": pa.array(found.number[mine]),
+                    "hash": pa.array(found.hash[mine].view(np.int64)),
+                    "words": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words)),
                 }
             )
 
-    sets = texts_with(docs, wanted).mapInArrow(fetch, "doc bigint, line bigint, words binary")
-    arrived = sets.groupBy("doc").agg(F.collect_list(F.struct("line", "words")).alias("sets"))
-    asked = candidates.select("doc").distinct()
+    rows = texts_with(docs, wanted).mapInArrow(fetch, "doc bigint, line bigint, hash bigint, words array<bigint>")
+    return materialize(rows.dropDuplicates(["doc", "line", "hash"]), "words")
 
-    def compare(batches):
-        for batch in small_batches(batches):
-            found = lines_of(batch["text"])
-            place = {(int(r), int(n)): i for i, (r, n) in enumerate(zip(found.row, found.number))}
-            best: dict[tuple[int, int, int], bool] = {}
-            docs_ = batch["doc"].to_pylist()
-            for r, sets_ in enumerate(batch["sets"].to_pylist()):
-                for s in sets_:
-                    i = place.get((r, s["line"]))
-                    if i is not None:
-                        mine = found.words[found.first[i] : found.first[i + 1]]
-                        other = from_planes(s["words"], np.uint64)
-                        shared = len(np.intersect1d(mine, other, assume_unique=True))
-                        similar = den * shared >= num * (len(mine) + len(other) - shared)
-                        key = (docs_[r], s["line"], int(found.hash[i].view(np.int64)))
-                        best[key] = best.get(key, False) or similar
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc": pa.array([k[0] for k in best], pa.int64()),
-                    "line": pa.array([k[1] for k in best], pa.int64()),
-                    "hash": pa.array([k[2] for k in best], pa.int64()),
-                    "similar": pa.array(list(best.values()), pa.bool_()),
-                }
-            )
 
-    both = texts_with(docs, arrived.join(asked, "doc"))
-    return both.mapInArrow(compare, "doc bigint, line bigint, hash bigint, similar boolean")
+def verified(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``doc``, ``line``, ``hash``, ``similar`` for every candidate line, by exact Jaccard.
+
+    Every line's words are fetched once. A pair is a row; those of an earlier line
+    that has very many later ones are dealt over several copies of its words.
+    """
+    num, den = similarity
+    pairs = candidates.where("other_doc is not null").select("doc", "line", "other_doc", "other_line")
+    other = pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
+    words = words_table(docs, pairs.select("doc", "line").unionByName(other).distinct())
+    ends = ["other_doc", "other_line"]
+    salts = F.ceil(F.col("count") / PAIRS_PER_SALT).cast("int").alias("salts")
+    hot = pairs.groupBy(*ends).count().where(F.col("count") > PAIRS_PER_SALT).select(*ends, salts)
+    hot = F.broadcast(materialize(hot, "hot"))
+    number = F.coalesce("salts", F.lit(1))
+    salt = F.pmod(F.xxhash64("doc", "line"), number).cast("int").alias("salt")
+    salted = pairs.join(hot, ends, "left").select("doc", "line", *ends, salt)
+    theirs = words.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("theirs"))
+    theirs = theirs.join(hot, ends, "left").select(*ends, "theirs", F.explode(F.sequence(F.lit(0), number - 1)).alias("salt"))
+    both = salted.join(words, ["doc", "line"]).join(theirs, [*ends, "salt"])
+    shared = F.size(F.array_intersect("words", "theirs"))
+    similar = den * shared >= num * (F.size("words") + F.size("theirs") - shared)
+    return both.groupBy("doc", "line", "hash").agg(F.max(similar).alias("similar"))
 
 
 def similar_lines(docs: DataFrame, table: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -395,28 +416,28 @@ def similar_lines(docs: DataFrame, table: DataFrame, similarity: tuple[int, int]
     """
     words = table.where("counter is not null").agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // PART_WORDS))
-    rank = word_ranks(table)
-    rows, checked = tried(docs, rank, parts, similarity)
+    rank, slices = word_ranks(table)
+    rows, checked = tried(docs, rank, slices, parts, similarity)
     similar = checked.where("similar").select("doc", "line", "hash")
-    failed = checked.groupBy("doc", "line").agg(F.max("similar").alias("similar")).where("not similar")
-    again = rows.where("more").select("doc", "line").distinct().join(failed, ["doc", "line"])
-    again = materialize(again.select("doc", "line"), "again")
+    again = rows.where("more").select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti")
+    again = materialize(again, "again")
     if again.isEmpty():
         return similar
-    _, rest = tried(docs, rank, parts, similarity, line_map(again), rare_words(docs, again, rank, similarity))
+    _, rest = tried(docs, rank, slices, parts, similarity, line_map(again), rare_words(docs, again, rank, similarity))
     return similar.unionByName(rest.where("similar").select("doc", "line", "hash"))
 
 
 def tried(
     docs: DataFrame,
     rank: np.ndarray,
+    slices: np.ndarray,
     parts: int,
     similarity: tuple[int, int],
     asked: bytes | None = None,
     wanted: bytes | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The candidates of a round and what became of them, as written tables."""
-    posted = postings(docs, rank, parts, similarity, wanted)
+    posted = postings(docs, rank, slices, parts, similarity, wanted, asked)
     rows = posted.groupBy("part").applyInArrow(candidate_finder(docs.sparkSession, similarity, asked), CANDIDATES)
     pairs = ["doc", "line", "other_doc", "other_line"]
     rows = materialize(rows.groupBy(*pairs).agg(F.max("more").alias("more")), "candidates")
