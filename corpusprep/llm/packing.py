@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from bisect import bisect_right
@@ -22,6 +23,8 @@ SEQUENCE_TOKENS = 1024
 WINDOW_TOKENS = 64 * SEQUENCE_TOKENS
 END_ID = 0
 MAX_QUEUES = 256
+TURN_TOKENS = 64  # of a source in a window of its group, on average at least
+BORDERS = 1 << 20  # numbers of a schedule's windows that a task keeps
 
 # Only texts of these characters, in which all cutters of words agree, and without
 # very long blanks take the fast way; the library encodes all others.
@@ -113,6 +116,11 @@ class Schedule:
             taken, left = self.after(at, state), at - state[0]
             deficit = [(d + left * q) % unit for d, q in zip(deficit, quantum)]
         self.starts = [[p[1][s] for p in self.phases] for s in range(len(totals))]
+        self.keep_borders()
+
+    def keep_borders(self) -> None:
+        """Fewer windows are kept of a schedule with more queues."""
+        self.border = lru_cache(maxsize=max(16, BORDERS // max(1, len(self.totals))))(self.find_border)
 
     def after(self, window: int, phase) -> list[int]:
         """Tokens that each queue has given when ``window`` windows are full."""
@@ -123,8 +131,7 @@ class Schedule:
             for t, c, d, q in zip(self.totals, taken, deficit, quantum)
         ]
 
-    @lru_cache(maxsize=4096)  # noqa: B019  lives as long as its task
-    def border(self, phase: int, window: int) -> tuple[list[int], list[int], list[int]]:
+    def find_border(self, phase: int, window: int) -> tuple[list[int], list[int], list[int]]:
         """Before and after a window, and where each queue's tokens start in the stream."""
         before = self.after(window - 1, self.phases[phase])
         after = self.after(window, self.phases[phase])
@@ -154,6 +161,7 @@ class Schedule:
 def _schedule(totals, phases, starts) -> Schedule:
     made = Schedule.__new__(Schedule)
     made.totals, made.phases, made.starts = totals, phases, starts
+    made.keep_borders()
     return made
 
 
@@ -196,9 +204,13 @@ def pack(
     runs empty leaves its share to the others; sources without a target come when
     the others are empty. Only the last sequence of all can be short.
 
-    The ``max_queues - 1`` largest sources have a queue of their own, all smaller
-    ones share one, which bounds the schedule. A null source is a source, a null or
-    empty text is id 0 alone, repeated rows are packed each, null ids stay null.
+    With fewer than ``max_queues`` sources each has a queue of its own. With more, half
+    as many queues go to the largest ones, and every source with a target has one; the
+    others are dealt over groups, each of which is a queue that a second round-robin
+    fills by the shares of the group's sources. Its window is the group's share of a
+    window, or longer, so that a source has ``TURN_TOKENS`` in it on average. A null
+    source is a source, a null or empty text is id 0 alone, repeated rows are packed
+    each, null ids stay null.
 
     Ids are written once, in the tasks that read the texts, and never shuffled
     unless the table of task offsets is too large to be broadcast.
@@ -213,16 +225,30 @@ def pack(
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     tokens = token_table(rows, model)
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    offsets, totals, names = queue_offsets(spark, sums, max_queues)
-    weights = [round(1_000_000 * targets.get(n, 0)) if n is not None else 0 for n in names] if targets else totals
+    sums = materialize(sums, "sums")
+    offsets, totals, names, groups = queue_offsets(spark, sums, max_queues, targets or {})
+    weights = totals
+    if targets:
+        weights = [round(1_000_000 * targets.get(n, 0)) if n is not None else 0 for n in names] + [0] * len(groups)
     schedule = Schedule(totals, weights, window)
+    every = max(1, sum(totals))
+    turns = [Schedule(g, g, max(1, window * sum(g) // every, TURN_TOKENS * len(g))) for g in groups]
+
+    def places(row):
+        start = row.base + row.start
+        if row.queue < len(names):
+            yield from schedule.runs(row.queue, start, row.n)
+            return
+        for first, count, at in turns[row.queue - len(names)].runs(row.member, start, row.n):
+            for more, length, place in schedule.runs(row.queue, at, count):
+                yield first + more, length, place
 
     def cut(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 ids = from_planes(row.ids, "<u4").tobytes()
-                for start, length, at in schedule.runs(row.queue, row.base + row.start, row.n):
+                for start, length, at in places(row):
                     while length:
                         take = min(length, sequence - at % sequence)
                         crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + take)])
@@ -234,28 +260,47 @@ def pack(
         f"doc_id {dict(docs.dtypes)['doc_id']}, start bigint, length bigint, ids_crc32 bigint, "
         "doc_tokens bigint, sequence_id bigint, offset bigint, source string"
     )
-    place = offsets.select(F.col("source").alias("of"), F.col("part").alias("task"), "queue", "base")
+    place = offsets.select(F.col("source").alias("of"), F.col("part").alias("task"), "queue", "member", "base")
     same = (F.col("part") == F.col("task")) & F.col("source").eqNullSafe(F.col("of"))
-    placed = tokens.join(place, same).select("doc_id", "source", "start", "n", "ids", "queue", "base")
+    placed = tokens.join(place, same).select("doc_id", "source", "start", "n", "ids", "queue", "member", "base")
     return placed.mapInPandas(cut, columns)
 
 
-def queue_offsets(spark: SparkSession, sums: DataFrame, max_queues: int):
-    """Queue and first token of every (source, task); tokens and source of each queue."""
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    largest = by_source.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(max_queues - 1)
-    names = [r.source for r in largest.collect()]
-    own = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, number int")
-    numbered = sums.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("name")), "left")
-    queue = F.coalesce("number", F.lit(len(names)))
-    earlier = Window.partitionBy("queue").orderBy("part", F.asc_nulls_first("source"))
-    base = F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = numbered.select("source", "part", "n", queue.alias("queue")).withColumn("base", base)
-    offsets = materialize(placed, "offsets")
-    totals = [0] * (len(names) + 1)
-    for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r.queue] = r.n
-    return offsets, totals, [*names, None]
+def queue_offsets(spark: SparkSession, sums: DataFrame, max_queues: int, targets: dict[str, float]):
+    """Queue, place in its group and first token of every (source, task).
+
+    Also the tokens of each queue, the sources that have one of their own, and the
+    tokens of every source of each group; the groups' queues come last.
+    """
+    by_source = materialize(sums.groupBy("source").agg(F.sum("n").alias("n")), "sources")
+    of_own = max_queues - 1 if by_source.count() < max_queues else (max_queues + 1) // 2
+    order = (F.desc("n"), F.asc_nulls_first("source"))
+    largest = [(r.source, r.n) for r in by_source.orderBy(*order).limit(of_own).collect()]
+    wanted = spark.createDataFrame([(t,) for t in targets if t is not None], "source string")
+    known = {n for n, _ in largest}
+    named = [(r.source, r.n) for r in by_source.join(F.broadcast(wanted), "source").orderBy(*order).collect()]
+    largest += [(n, total) for n, total in named if n not in known]
+    names, totals = [n for n, _ in largest], [total for _, total in largest]
+    own = [(n, i) for i, n in enumerate(names)]
+    own = F.broadcast(spark.createDataFrame(own, "name string, queue int").withColumn("member", F.lit(0)))
+    same = F.col("source").eqNullSafe(F.col("name"))
+    rest = by_source.join(own, same, "left_anti")
+    many = rest.count()
+    buckets = max(1, max_queues // 2, math.isqrt(many))
+    bucket = F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int").alias("bucket")
+    in_group = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("name"))
+    rest = rest.select(F.col("source").alias("name"), "n", bucket).withColumn("member", F.row_number().over(in_group) - 1)
+    rest = materialize(rest, "rest")
+    found = rest.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("member", "n"))).alias("of")).orderBy("bucket").collect()
+    groups = [[m.n for m in r.of] for r in found]
+    queues = [(r.bucket, len(names) + i) for i, r in enumerate(found)]
+    queues = F.broadcast(spark.createDataFrame(queues, "bucket int, queue int"))
+    placed = own.unionByName(rest.join(queues, "bucket").select("name", "queue", "member"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")
+    firsts = sums.select("source", "part", base)
+    offsets = materialize(firsts.join(placed, same).select("source", "part", "queue", "member", "base"), "offsets")
+    return offsets, totals + [sum(g) for g in groups], names, groups
 
 
 def op3_packing(spark, sf_dir):
