@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from corpus_pipeline import run
+from corpusprep.llm.centroids import OP13_SQL, op13_centroids
 from corpusprep.llm.decontamination import op5_decontamination
+from corpusprep.llm.exactcopies import OP11_SQL, op11_exact
 from corpusprep.llm.language import op1_language
 from corpusprep.llm.lines import op10_lines
 from corpusprep.llm.neighbours import op4_neighbours
@@ -25,8 +27,12 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_lines": op10_lines,
+    "op11_exact": op11_exact,
+    "op13_centroids": op13_centroids,
     "pipeline": run,
 }
 ORACLES: dict[str, str] = {
     "op8_substrings": OP8_SQL,
+    "op11_exact": OP11_SQL,
+    "op13_centroids": OP13_SQL,
 }
