@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusprep.sources.scratch import materialize
+
 NULL_ID = -(2**63)  # stands for a null id inside arrays; sorts before every other id
 CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -195,3 +197,19 @@ def in_map(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     low = hashes & np.uint64((1 << MAP_BITS) - 1)
     byte = np.frombuffer(bits, np.uint8)[low >> np.uint64(3)]
     return (byte >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+HOT_SHARE = 1000  # a key of more than 1/1000 of the rows is hot; there are fewer than 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to ``table``, whose keys are unique, without one task for a hot key.
+
+    The entries of hot keys are broadcast, all others are shuffled. ``rows`` is read
+    three times and should be a written table.
+    """
+    total = rows.count()
+    hot = rows.groupBy(*keys).count().where(F.col("count") * HOT_SHARE > total).select(*keys)
+    hot = F.broadcast(materialize(hot, "hot"))
+    few = F.broadcast(table.join(hot, keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))

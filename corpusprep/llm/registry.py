@@ -10,6 +10,7 @@ from corpusprep.llm.language import op1_language
 from corpusprep.llm.lines import op10_lines
 from corpusprep.llm.neighbours import op4_neighbours
 from corpusprep.llm.packing import op3_packing
+from corpusprep.llm.phrases import OP12_SQL, op12_phrases
 from corpusprep.llm.pii import op2_pii
 from corpusprep.llm.secrets import op6_secrets
 from corpusprep.llm.simhash import op9_simhash
@@ -28,11 +29,13 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_lines": op10_lines,
     "op11_exact": op11_exact,
+    "op12_phrases": op12_phrases,
     "op13_centroids": op13_centroids,
     "pipeline": run,
 }
 ORACLES: dict[str, str] = {
     "op8_substrings": OP8_SQL,
     "op11_exact": OP11_SQL,
+    "op12_phrases": OP12_SQL,
     "op13_centroids": OP13_SQL,
 }
