@@ -17,27 +17,31 @@ from corpusprep.llm.common import (
     hash_map,
     ids_of,
     in_map,
+    lookup,
     mix,
     planes,
     small_batches,
     texts_of,
     words_of,
 )
-from corpusprep.llm.substrings import part_slices
+from corpusprep.llm.phrases import FAN_BITS, Summary
 from corpusprep.sources.scratch import materialize
 
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that all bounds are exact
 COUNTERS = 1 << 18  # of word frequencies; any order is a right one, a good one is fast
-PART_WORDS = 2_000_000  # words of the input for each group of postings
+COUNTER_SLICES = 64
+FREQUENT = 1 << 14  # a word of more than this part of all words may be dealt over slices
+WORD_BYTES = 5  # of a word's hash in the table of lines
+PART_WORDS = 10_000_000  # words of the input for each group of postings
+FLUSH = 1_000_000  # postings that a task sorts before it sends them
 MOST_WIDTH = 64  # 64-bit words of a signature at most
-LOOKED_AT = 8  # candidates at a rare word of which the first round tries the nearest
-SLICE_LINES = 1 << 15  # a word that more lines may hold has its lines dealt over slices
-PAIRS_PER_SALT = 4096  # later lines that meet one copy of an earlier line's words
+SLICE_LINES = 1 << 13  # a word that more lines may hold has its lines dealt over slices
 GUEST, SLICED = 1, 2
 
-POSTINGS = "part int, tokens binary, docs binary, lines binary, sizes binary, places binary, marks binary, checks binary, flags binary"
 KINDS = {"tokens": "<u4", "docs": "<i8", "lines": "<u4", "sizes": "<u4", "places": "<u4", "checks": "<u4", "flags": "<u1"}
+POSTINGS = "part bigint, marks binary, " + ", ".join(f"{name} binary" for name in KINDS)
 CANDIDATES = "doc bigint, line bigint, other_doc bigint, other_line bigint, more boolean"
+LINES = "doc bigint, line bigint, ver bigint, hash bigint, words binary, slice int, count bigint"
 
 
 class Lines(NamedTuple):
@@ -137,46 +141,102 @@ class Folded:
         return out
 
 
+def packed(words: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The low ``WORD_BYTES`` bytes of each line's words."""
+    data = np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+    bounds = (first * WORD_BYTES).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words line after line and each line's bounds in them."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] else np.zeros(0, np.uint8)
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = raw.reshape(-1, WORD_BYTES)
+    return out.view("<u8").reshape(-1), (bounds - bounds[0]) // WORD_BYTES
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line with words (``counter`` is null) and the counts of words.
+    """One row per line with words, and rows with the counts of words; the texts are read once.
 
-    ``hash`` is the line's set of words. Every task adds its word counts, one row
-    per counter, so that the texts are read once for both.
+    ``ver`` is a hash of the text, ``hash`` one of the line's set of words. Rows of counts
+    have a ``slice`` of the counters, or none and a frequent word with its ``count``
+    in a task: every word of more than 1/``FREQUENT`` of all words is there, short of
+    at most that share.
     """
 
     def read(batches):
         counts = np.zeros(COUNTERS, np.int64)
+        frequent = Summary(2 * FREQUENT, "<u8")
         for batch in small_batches(batches):
             found = lines_of(batch["text"])
-            slots = (found.words & np.uint64(COUNTERS - 1)).astype(np.int64)
-            counts += np.bincount(slots, minlength=COUNTERS)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc": pa.array(ids_of(batch["doc_id"])[found.row]),
-                    "line": pa.array(found.number),
-                    "hash": pa.array(found.hash.view(np.int64)),
-                    "counter": pa.nulls(len(found.row), pa.int32()),
-                    "n": pa.array(np.diff(found.first)),
-                }
-            )
-        used = np.flatnonzero(counts)
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_pydict(
-            {"doc": none, "line": none, "hash": none, "counter": pa.array(used.astype(np.int32)), "n": pa.array(counts[used])}
-        )
-
-    schema = "doc bigint, line bigint, hash bigint, counter int, n bigint"
-    return materialize(docs.select("doc_id", "text").mapInArrow(read, schema), "lines")
-
-
-def word_ranks(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The place of every counter in the order of rising counts, and its words' slices."""
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in table.where("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).collect():
-        counts[row.counter] = row.n
-    rank = np.empty(COUNTERS, np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS)
-    return rank, np.maximum(1, -(-counts // SLICE_LINES))
+            counts += np.bincount((found.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            frequent.add(*np.unique(found.words & np.uint64((1 << 8 * WORD_BYTES) - 1), return_counts=True))
+            none = pa.nulls(len(found.row), pa.int64())
+            columns = [
+                pa.array(ids_of(batch["doc_id"])[found.row]),
+                pa.array(found.number),
+                batch["ver"].take(pa.array(found.row)),
+                pa.array(found.hash.view(np.int64)),
+                packed(found.words, found.first),
+                none.cast(pa.int32()),
+                none,
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINES.split(", ")])
+        frequent.merge()
+        often = frequent.counts * 2 * FREQUENT > counts.sum()
+        words, often = frequent.keys[often].astype(np.int64), frequent.counts[often]
+        blobs = [x.astype("<u8").tobytes() for x in counts.reshape(COUNTER_SLICES, -1)] if counts.any() else []
+        none = pa.nulls(len(blobs) + len(words), pa.int64())
+        columns = [
+            none,
+            none,
+            none,
+            pa.array([None] * len(blobs) + words.tolist(), pa.int64()),
+            pa.array([*blobs, *[None] * len(words)], pa.binary()),
+            pa.array([*range(len(blobs)), *[None] * len(words)], pa.int32()),
+            pa.array([None] * len(blobs) + often.tolist(), pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINES.split(", ")])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("ver"))
+    return materialize(rows.mapInArrow(read, LINES), "lines")
+
+
+def word_ranks(table: DataFrame) -> tuple[np.ndarray, dict[int, int], int]:
+    """The place of every counter in the order of rising counts, frequent words' slices, all words."""
+
+    def add(batches):
+        part, total = None, None
+        for batch in batches:
+            for number, blob in zip(batch["slice"].to_pylist(), batch["words"]):
+                if number != part:
+                    if part is not None:
+                        yield sums(part, total)
+                    part, total = number, np.zeros(COUNTERS // COUNTER_SLICES, "<u8")
+                total += np.frombuffer(blob.as_py(), "<u8")
+        if part is not None:
+            yield sums(part, total)
+
+    def sums(part, total):
+        return pa.RecordBatch.from_pydict({"slice": pa.array([part], pa.int32()), "words": pa.array([total.tobytes()], pa.binary())})
+
+    sent = table.where("slice is not null").select("slice", "words").repartition("slice").sortWithinPartitions("slice")
+    counts = np.zeros((COUNTER_SLICES, COUNTERS // COUNTER_SLICES), np.int64)
+    for row in sent.mapInArrow(add, "slice int, words binary").collect():
+        counts[row.slice] = np.frombuffer(row.words, "<u8")
+    counts = counts.reshape(-1)
+    rank = np.empty(COUNTERS, np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(COUNTERS, dtype=np.int32)
+    total = int(counts.sum())
+    most = F.sum("count") + total // FREQUENT
+    words = table.where("count is not null").groupBy(F.col("hash").alias("word")).agg(most.alias("most"))
+    least = max(SLICE_LINES, total // FREQUENT)
+    slices = {r.word: -(-r.most // SLICE_LINES) for r in words.where(F.col("most") > least).collect()}
+    return rank, slices, total
 
 
 def prefix_sizes(sizes: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -185,11 +245,19 @@ def prefix_sizes(sizes: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     return sizes - -(-num * sizes // den) + 1
 
 
+def sorted_lines(batch: pa.RecordBatch, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a batch of the table of lines, each line's rarest first."""
+    words, first = unpacked(batch["words"])
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    slot = (words & np.uint64(COUNTERS - 1)).astype(np.int64)
+    return words[word_order(line, rank[slot], words << np.uint64(64 - 8 * WORD_BYTES))], first
+
+
 def postings(
-    docs: DataFrame,
+    lines: DataFrame,
     rank: np.ndarray,
-    slices: np.ndarray,
-    parts: int,
+    slices: dict[int, int],
+    levels: int,
     similarity: tuple[int, int],
     wanted: bytes | None,
     asked: bytes | None,
@@ -199,31 +267,37 @@ def postings(
     Of equal sets in a batch only the first is sent: the others are no first match.
     ``wanted`` is a map of the words that are wanted, None of all. The lines of a
     frequent word are dealt over its slices; a line in the map ``asked`` is a guest
-    in all other slices too, where others are not compared with it.
+    in all other slices too, where others are not compared with it. A task sends 64
+    rows for a million postings, and so does each further step of routing.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast((rank, slices))
-    maps = docs.sparkSession.sparkContext.broadcast((wanted, asked))
+    frequent = np.array(sorted(slices), np.uint64)
+    times_of = np.array([slices[w] for w in sorted(slices)] + [1], np.int64)
+    shared = lines.sparkSession.sparkContext.broadcast((rank, wanted, asked))
 
     def send(batches):
-        for batch in small_batches(batches):
-            ranks, slices_of = broadcast.value
-            words_wanted, lines_asked = maps.value
-            found = lines_of(batch["text"], ranks)
-            sizes = np.diff(found.first)
-            doc = ids_of(batch["doc_id"])[found.row]
-            order = np.lexsort((found.number, doc, found.hash))
-            chosen = order[np.r_[True, found.hash[order][1:] != found.hash[order][:-1]]] if len(order) else order
+        waiting, size = [], 0
+        ranks, words_wanted, lines_asked = shared.value
+        for batch in batches:
+            words, first = sorted_lines(batch, ranks)
+            sizes = np.diff(first)
+            doc, number = batch["doc"].to_numpy(), batch["line"].to_numpy()
+            hashes = batch["hash"].to_numpy().view(np.uint64)
+            order = np.lexsort((number, doc, hashes))
+            chosen = order[np.r_[True, hashes[order][1:] != hashes[order][:-1]]] if len(order) else order
             count = prefix_sizes(sizes[chosen], similarity)
             place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             line = np.repeat(chosen, count)
-            token = found.words[found.first[line] + place]
-            marks, mark_start = signatures(found.words, found.first)
-            many = slices_of[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
-            token = mix(token)
+            word = words[first[line] + place]
+            marks, mark_start = signatures(words, first)
+            token = mix(word)
             if words_wanted is not None:
                 kept = in_map(words_wanted, token)
-                token, line, place, many = token[kept], line[kept], place[kept], many[kept]
-            key = line_hash(doc[line], found.number[line])
+                word, token, line, place = word[kept], token[kept], line[kept], place[kept]
+            at = np.searchsorted(frequent, word)
+            known = np.flatnonzero(frequent[np.minimum(at, len(frequent) - 1)] == word) if len(frequent) else []
+            many = np.ones(len(word), np.int64)
+            many[known] = times_of[at[known]]
+            key = line_hash(doc[line], number[line])
             at = (key % many.astype(np.uint64)).astype(np.int64)
             flags = np.where(many > 1, SLICED, 0)
             if lines_asked is not None:
@@ -235,24 +309,72 @@ def postings(
                 token, line, place = (np.concatenate([v, v[guest]]) for v in (token, line, place))
                 flags = np.concatenate([flags, np.full(len(guest), SLICED | GUEST)])
             token = np.where(at > 0, mix(token + at.astype(np.uint64) * BASE), token)
-            order = np.argsort(token, kind="stable")
-            token, line, place, flags = token[order], line[order], place[order], flags[order]
             columns = {
-                "tokens": token.astype("<u4"),
+                "tokens": token,
                 "docs": doc[line],
-                "lines": found.number[line].astype("<u4"),
-                "sizes": sizes[line].astype("<u4"),
-                "places": place.astype("<u4"),
-                "checks": (found.hash[line] >> np.uint64(32)).astype("<u4"),
-                "flags": flags.astype("<u1"),
+                "lines": number[line],
+                "sizes": sizes[line],
+                "places": place,
+                "checks": hashes[line] >> np.uint64(32),
+                "flags": flags,
             }
-            cuts = list(part_slices(token, parts))
-            rows = {"part": pa.array([p for p, _ in cuts], pa.int32())}
-            rows |= {n: pa.array([planes(np.ascontiguousarray(v[s])) for _, s in cuts], pa.binary()) for n, v in columns.items()}
-            rows["marks"] = pa.array([marks[spread_out(mark_start, line[s])].tobytes() for _, s in cuts], pa.binary())
-            yield pa.RecordBatch.from_pydict({n.split()[0]: rows[n.split()[0]] for n in POSTINGS.split(", ")})
-
-    return docs.select("doc_id", "text").mapInArrow(send, POSTINGS)
+            waiting.append((columns, marks[spread_out(mark_start, line)]))
+            size += len(token)
+            if size > FLUSH:
+                yield posted(waiting, 1, levels)
+                waiting, size = [], 0
+        if size:
+            yield posted(waiting, 1, levels)
+
+    sent = lines.select("doc", "line", "hash", "words").mapInArrow(send, POSTINGS)
+    for level in range(2, levels + 1):
+        sent = sent.repartition("part").sortWithinPartitions("part").mapInArrow(route_postings(level, levels), POSTINGS)
+    return sent
+
+
+def posted(waiting: list, level: int, levels: int) -> pa.RecordBatch:
+    """Postings by ranges of the word's hash, a row each; its last 32 bits go along in the end."""
+    c = {n: np.concatenate([x[n] for x, _ in waiting]) for n in KINDS}
+    marks = np.concatenate([m for _, m in waiting])
+    order = np.argsort(c["tokens"], kind="stable")
+    start = np.concatenate(([0], np.cumsum(widths(c["sizes"].astype(np.int64)))))
+    c = {n: v[order] for n, v in c.items()}
+    marks = marks[spread_out(start, order)]
+    start = np.concatenate(([0], np.cumsum(widths(c["sizes"].astype(np.int64)))))
+    bits = np.uint64(FAN_BITS * level)
+    part = c["tokens"] >> (np.uint64(64) - bits)
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]))
+    c["tokens"] = c["tokens"] << bits
+    kinds = KINDS | {"tokens": "<u8"}
+    if level == levels:
+        c["tokens"], kinds = c["tokens"] >> np.uint64(32), KINDS
+    rows = {n: pa.array([planes(np.ascontiguousarray(c[n][a:b].astype(k))) for a, b in spans], pa.binary()) for n, k in kinds.items()}
+    rows["part"] = pa.array(part[cuts].astype(np.int64))
+    rows["marks"] = pa.array([marks[start[a] : start[b]].tobytes() for a, b in spans], pa.binary())
+    names = [n.split()[0] for n in POSTINGS.split(", ")]
+    return pa.RecordBatch.from_arrays([rows[n] for n in names], names)
+
+
+def route_postings(level: int, levels: int):
+    def deal(batches):
+        part, waiting, size = None, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch["part"][i].as_py()
+                if size and (number != part or size > FLUSH):
+                    yield posted(waiting, level, levels)
+                    waiting, size = [], 0
+                part = number
+                c = {n: from_planes(batch[n][i].as_py(), k) for n, k in (KINDS | {"tokens": "<u8"}).items()}
+                done = np.uint64(FAN_BITS * (level - 1))
+                c["tokens"] = (np.uint64(part) << (np.uint64(64) - done)) | (c["tokens"] >> done)
+                waiting.append((c, np.frombuffer(batch["marks"][i].as_py(), np.uint64)))
+                size += len(c["tokens"])
+        if size:
+            yield posted(waiting, level, levels)
+
+    return deal
 
 
 def spread_out(start: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -262,94 +384,142 @@ def spread_out(start: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return np.repeat(start[chosen], count) + within
 
 
-def candidates_of(table: pa.Table, similarity: tuple[int, int], asked: bytes | None) -> pa.Table:
-    """Earlier lines that share a rare word with a line and pass all filters.
+class Group(NamedTuple):
+    """The postings of a range of words, by word, size, document and line."""
 
-    The filters are bounds that no similar pair fails: sizes, the places of the
-    shared word, and the bits in which the signatures differ. Equal sets are left to
-    the exact step. Lines are compared in step with the first, second, ... line of
-    their word's group. The first round (``asked`` is None) takes of the first
-    ``LOOKED_AT`` that pass the one whose signature is nearest, ``more`` says that
-    others pass; for the lines in the map ``asked`` all that pass are taken. In the
-    first round a line in a slice of a word has ``more`` in any case, for the other
-    slices, and a row without another line if none passes.
-    """
+    c: dict[str, np.ndarray]
+    folded: Folded
+    last: np.ndarray  # behind the postings of the same word whose sizes can be similar
+
+
+def group_of(table: pa.Table, similarity: tuple[int, int]) -> Group:
     num, den = similarity
     c = {n: np.concatenate([from_planes(x.as_py(), k) for x in table[n]]) for n, k in KINDS.items()}
     marks = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["marks"]])
-    order = np.lexsort((c["lines"], c["docs"], c["tokens"]))
-    mark_start = np.concatenate(([0], np.cumsum(widths(c["sizes"].astype(np.int64)))))
-    marks = marks[spread_out(mark_start, order)]
+    order = np.lexsort((c["lines"], c["docs"], c["sizes"], c["tokens"]))
+    start = np.concatenate(([0], np.cumsum(widths(c["sizes"].astype(np.int64)))))
+    folded = Folded(marks[spread_out(start, order)], c["sizes"][order].astype(np.int64))
     c = {n: v[order] for n, v in c.items()}
-    folded = Folded(marks, c["sizes"].astype(np.int64))
-    token = c["tokens"]
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    sizes = np.diff(np.r_[starts, len(token)])
-    start = np.repeat(starts, sizes)
-    index = np.arange(len(token)) - start
+    key = (c["tokens"].astype(np.uint64) << np.uint64(32)) | c["sizes"]
+    most = (c["tokens"].astype(np.uint64) << np.uint64(32)) | (c["sizes"].astype(np.int64) * den // num).astype(np.uint64)
+    return Group(c, folded, np.searchsorted(key, most, "right"))
+
+
+def passing_pairs(group: Group, similarity: tuple[int, int], asked: np.ndarray | None = None):
+    """Batches of (later, earlier, excess): pairs of a word's postings that pass all filters.
+
+    The filters are bounds that no similar pair fails: sizes, the places of the
+    shared word, and the bits in which the signatures differ. Equal sets are left to
+    the exact step. A guest is only ever the later one. With ``asked`` only pairs
+    whose later line is marked there are tried.
+    """
+    num, den = similarity
+    c = group.c
     size, place = c["sizes"].astype(np.int64), c["places"].astype(np.int64)
-    left = np.flatnonzero(index > 0)
-    if asked is not None:
-        left = left[in_map(asked, line_hash(c["docs"][left], c["lines"][left].astype(np.int64)))]
-    hits, nearest = np.zeros(len(token), np.int64), np.full(len(token), -1)
-    distance = np.full(len(token), np.iinfo(np.int64).max)
-    out, step = [], 0
+    doc, line = c["docs"], c["lines"]
+    guest = c["flags"] & GUEST > 0
+    step = 1
+    left = np.flatnonzero(group.last > np.arange(len(size)) + step)
     while len(left):
-        x = start[left] + step
-        a, b, pa_, pb = size[left], size[x], place[left], place[x]
+        i, j = left, left + step
+        a, b = size[i], size[j]
         need = -(-num * (a + b) // (num + den))
-        good = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (
-            np.minimum(pa_, pb) + 1 + np.minimum(a - pa_, b - pb) - 1 >= need
-        )
-        good &= (c["docs"][x] != c["docs"][left]) | (c["lines"][x] != c["lines"][left])
-        good &= c["flags"][x] & GUEST == 0
-        some = np.flatnonzero(good)
-        differ = folded.differ(left[some], x[some])
-        equal = (differ == 0) & (a == b)[some] & (c["checks"][left[some]] == c["checks"][x[some]])
-        excess = differ - (a + b - 2 * need)[some]
-        passed = (excess <= 0) & ~equal
-        y, x, excess = left[some][passed], x[some][passed], excess[passed]
-        hits[y] += 1
+        good = np.minimum(place[i], place[j]) + 1 + np.minimum(a - place[i], b - place[j]) - 1 >= need
+        i, j, need = i[good], j[good], need[good]
+        first = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
+        y, x = np.where(first, j, i), np.where(first, i, j)
+        good = ((doc[i] != doc[j]) | (line[i] != line[j])) & ~guest[x]
+        if asked is not None:
+            good &= asked[y]
+        y, x, need = y[good], x[good], need[good]
+        differ = group.folded.differ(y, x)
+        excess = differ - (size[y] + size[x] - 2 * need)
+        equal = (differ == 0) & (size[y] == size[x]) & (c["checks"][y] == c["checks"][x])
+        good = (excess <= 0) & ~equal
+        if good.any():
+            yield y[good], x[good], excess[good]
         step += 1
-        if asked is None:
-            nearer = excess < distance[y]
-            distance[y[nearer]], nearest[y[nearer]] = excess[nearer], x[nearer]
-            left = left[hits[left] < LOOKED_AT]
-        else:
-            out.append(np.column_stack([y, x]))
-        left = left[index[left] > step]
+        left = left[group.last[left] > left + step]
+
+
+def candidates_of(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
+    """For every line at a rare word the earlier line there whose signature is nearest.
+
+    ``more`` says that others pass as well; a line in a slice of a word has it in any
+    case, for the other slices, and a row without another line if none passes.
+    """
+    group = group_of(table, similarity)
+    c, count = group.c, len(group.last)
+    hits, nearest = np.zeros(count, np.int64), np.full(count, -1)
+    distance = np.full(count, np.iinfo(np.int64).max)
+    for y, x, excess in passing_pairs(group, similarity):
+        order = np.lexsort((excess, y))  # a line can be in a batch twice
+        y, x, excess = y[order], x[order], excess[order]
+        np.add.at(hits, y, 1)
+        best = np.r_[True, y[1:] != y[:-1]]
+        y, x, excess = y[best], x[best], excess[best]
+        nearer = excess < distance[y]
+        distance[y[nearer]], nearest[y[nearer]] = excess[nearer], x[nearer]
     sliced = c["flags"] & SLICED > 0
-    if asked is None:
-        y = np.flatnonzero((nearest >= 0) | sliced)
-        x = nearest[y]
-    else:
-        y, x = np.concatenate([np.zeros((0, 2), np.int64), *out]).T
+    y = np.flatnonzero((nearest >= 0) | sliced)
+    x = nearest[y]
     return pa.table(
         {
             "doc": pa.array(c["docs"][y]),
             "line": pa.array(c["lines"][y].astype(np.int64)),
             "other_doc": pa.array(c["docs"][x], mask=x < 0),
             "other_line": pa.array(c["lines"][x].astype(np.int64), mask=x < 0),
-            "more": pa.array(((hits[y] > 1) | sliced[y]) & (asked is None)),
+            "more": pa.array((hits[y] > 1) | sliced[y]),
         }
     )
 
 
+def involved(table: pa.Table, similarity: tuple[int, int], asked: bytes) -> pa.Table:
+    """The postings in a pair whose later line is asked for and passes: at most one row each."""
+    group = group_of(table, similarity)
+    c = group.c
+    wanted = in_map(asked, line_hash(c["docs"], c["lines"].astype(np.int64)))
+    later, some = np.zeros(len(wanted), bool), np.zeros(len(wanted), bool)
+    for y, x, _ in passing_pairs(group, similarity, wanted):
+        later[y] = some[y] = some[x] = True
+    at = np.flatnonzero(some)
+    part = np.full(len(at), table["part"][0].as_py() if len(at) else 0)
+    return pa.table(
+        {
+            "part": pa.array(part),
+            "token": pa.array(c["tokens"][at].astype(np.int64)),
+            "doc": pa.array(c["docs"][at]),
+            "line": pa.array(c["lines"][at].astype(np.int64)),
+            "later": pa.array(later[at]),
+            "guest": pa.array(c["flags"][at] & GUEST > 0),
+        }
+    )
+
+
+INVOLVED = "part bigint, token bigint, doc bigint, line bigint, later boolean, guest boolean"
+
+
 def line_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
 
 
-def texts_with(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``docs`` joined to ``asked`` (a row per ``doc``); other texts stay out of the shuffle."""
-    marks = docs.sparkSession.sparkContext.broadcast(hash_map(asked.select(F.xxhash64("doc").alias("h")), "h"))
+def texts_with(rows: DataFrame, of_doc: DataFrame) -> DataFrame:
+    """``rows`` with ``gone`` of their text; texts that lose no line stay out of the shuffle."""
+    marks = rows.sparkSession.sparkContext.broadcast(hash_map(of_doc.select(F.xxhash64("doc", "ver").alias("h")), "h"))
+    keyed = rows.withColumns({"doc": key_of(rows), "ver": F.xxhash64("text")})
+    keyed = keyed.withColumn("h", F.xxhash64("doc", "ver"))
 
-    def likely(batches):
-        for batch in batches:
-            kept = in_map(marks.value, batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.filter(pa.array(kept))
+    def deal(hit: bool):
+        def choose(batches):
+            for batch in batches:
+                kept = in_map(marks.value, batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))
+                yield batch.filter(pa.array(kept if hit else ~kept))
+
+        return choose
 
-    keyed = docs.select(key_of(docs).alias("doc"), "text").withColumn("h", F.xxhash64("doc"))
-    return keyed.mapInArrow(likely, "doc bigint, text string, h bigint").drop("h").join(asked, "doc")
+    clean = keyed.mapInArrow(deal(False), keyed.schema).withColumn("gone", F.lit(None).cast("array<bigint>"))
+    touched = keyed.mapInArrow(deal(True), keyed.schema).join(of_doc, ["doc", "ver"], "left")
+    return clean.unionByName(touched)
 
 
 def key_of(docs: DataFrame):
@@ -357,114 +527,176 @@ def key_of(docs: DataFrame):
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
 
 
-def words_table(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``doc``, ``line``, ``hash`` and ``words`` of the given lines, each version of a line once."""
-    wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("asked"))
+def words_table(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc``, ``line``, ``hash``, ``words`` of the given lines; the others stay out of the shuffle."""
+    marks = lines.sparkSession.sparkContext.broadcast(line_map(wanted))
 
-    def fetch(batches):
-        for batch in small_batches(batches):
-            found = lines_of(batch["text"])
-            asked = [set(x) for x in batch["asked"].to_pylist()]
-            mine = [i for i, (r, n) in enumerate(zip(found.row.tolist(), found.number.tolist())) if n in asked[r]]
-            mine = np.array(mine, np.int64)
-            ends = np.concatenate(([0], np.cumsum(np.diff(found.first)[mine])))
-            words = found.words[spread_out(found.first, mine)].view(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc": batch["doc"].take(pa.array(found.row[mine])),
-                    "line": pa.array(found.number[mine]),
-                    "hash": pa.array(found.hash[mine].view(np.int64)),
-                    "words": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words)),
-                }
-            )
+    def likely(batches):
+        for batch in batches:
+            kept = in_map(marks.value, line_hash(batch["doc"].to_numpy(), batch["line"].to_numpy()))
+            yield batch.filter(pa.array(kept))
 
-    rows = texts_with(docs, wanted).mapInArrow(fetch, "doc bigint, line bigint, hash bigint, words array<bigint>")
-    return materialize(rows.dropDuplicates(["doc", "line", "hash"]), "words")
+    some = lines.select("doc", "line", "hash", "words").mapInArrow(likely, "doc bigint, line bigint, hash bigint, words binary")
+    return materialize(some.join(wanted, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line", "hash"]), "words")
 
 
-def verified(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``doc``, ``line``, ``hash``, ``similar`` for every candidate line, by exact Jaccard.
+def overlaps(batch: pa.RecordBatch) -> np.ndarray:
+    """How many words the sets ``words`` and ``theirs`` of each row share."""
+    out = np.zeros(batch.num_rows, np.int64)
+    for at in range(0, batch.num_rows, 2048):
+        sides = []
+        for name in ("words", "theirs"):
+            words, first = unpacked(batch.slice(at, 2048)[name])
+            sides.append((np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first)) << np.uint64(8 * WORD_BYTES)) | words)
+        both = np.sort(np.concatenate(sides))
+        same = both[1:][both[1:] == both[:-1]] >> np.uint64(8 * WORD_BYTES)
+        out[at : at + 2048] = np.bincount(same.astype(np.int64), minlength=len(out[at : at + 2048]))
+    return out
 
-    Every line's words are fetched once. A pair is a row; those of an earlier line
-    that has very many later ones are dealt over several copies of its words.
-    """
+
+def similar_pairs(similarity: tuple[int, int]):
     num, den = similarity
-    pairs = candidates.where("other_doc is not null").select("doc", "line", "other_doc", "other_line")
+
+    def judge(batches):
+        for batch in batches:
+            shared = overlaps(batch)
+            sizes = sum(np.diff(unpacked(batch[n])[1]) for n in ("words", "theirs"))
+            good = pa.array(den * shared >= num * (sizes - shared))
+            yield batch.select(["doc", "line", "hash"]).filter(good)
+
+    return judge
+
+
+def verified(lines: DataFrame, candidates: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``doc``, ``line``, ``hash`` of the candidate lines that are similar, by exact Jaccard.
+
+    A pair is a row, one for each of a line's rare words at most; the words of an
+    earlier line that very many point at are broadcast.
+    """
+    pairs = candidates.where("other_doc is not null").select("doc", "line", "other_doc", "other_line").distinct()
+    pairs = materialize(pairs, "pairs")
     other = pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
-    words = words_table(docs, pairs.select("doc", "line").unionByName(other).distinct())
-    ends = ["other_doc", "other_line"]
-    salts = F.ceil(F.col("count") / PAIRS_PER_SALT).cast("int").alias("salts")
-    hot = pairs.groupBy(*ends).count().where(F.col("count") > PAIRS_PER_SALT).select(*ends, salts)
-    hot = F.broadcast(materialize(hot, "hot"))
-    number = F.coalesce("salts", F.lit(1))
-    salt = F.pmod(F.xxhash64("doc", "line"), number).cast("int").alias("salt")
-    salted = pairs.join(hot, ends, "left").select("doc", "line", *ends, salt)
+    words = words_table(lines, pairs.select("doc", "line").unionByName(other).distinct())
     theirs = words.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("theirs"))
-    theirs = theirs.join(hot, ends, "left").select(*ends, "theirs", F.explode(F.sequence(F.lit(0), number - 1)).alias("salt"))
-    both = salted.join(words, ["doc", "line"]).join(theirs, [*ends, "salt"])
-    shared = F.size(F.array_intersect("words", "theirs"))
-    similar = den * shared >= num * (F.size("words") + F.size("theirs") - shared)
-    return both.groupBy("doc", "line", "hash").agg(F.max(similar).alias("similar"))
+    both = lookup(pairs, theirs, ["other_doc", "other_line"]).join(words, ["doc", "line"])
+    both = both.select("doc", "line", "hash", "words", "theirs")
+    return both.mapInArrow(similar_pairs(similarity), "doc bigint, line bigint, hash bigint").distinct()
 
 
-def similar_lines(docs: DataFrame, table: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def similar_lines(table: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``doc``, ``line``, ``hash`` of the lines with a similar, not equal, earlier line.
 
-    The first round tries one candidate of a line at each of its rare words, so a
-    large group of near copies sends a few rows per line, not all pairs. Lines whose
-    candidates all fail and that have more are then compared with all the others.
+    The first round tries one candidate of a line at each of its rare words. Lines whose
+    candidates all fail and that have more are then compared with all the others
+    inside their words' groups: only the lines in pairs that pass the filters are
+    sent there with their words, once per word, whatever the number of pairs.
     """
-    words = table.where("counter is not null").agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-words // PART_WORDS))
-    rank, slices = word_ranks(table)
-    rows, checked = tried(docs, rank, slices, parts, similarity)
-    similar = checked.where("similar").select("doc", "line", "hash")
+    lines = table.where("doc is not null")
+    rank, slices, words = word_ranks(table)
+    levels = 1
+    while words > PART_WORDS << (FAN_BITS * levels):
+        levels += 1
+    posted = postings(lines, rank, slices, levels, similarity, None, None)
+    rows = posted.groupBy("part").applyInArrow(lambda group: candidates_of(group, similarity), CANDIDATES)
+    rows = materialize(rows, "candidates")
+    similar = materialize(verified(lines, rows, similarity), "similar")
     again = rows.where("more").select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti")
     again = materialize(again, "again")
     if again.isEmpty():
         return similar
-    _, rest = tried(docs, rank, slices, parts, similarity, line_map(again), rare_words(docs, again, rank, similarity))
-    return similar.unionByName(rest.where("similar").select("doc", "line", "hash"))
-
+    marks = line_map(again)
+    asked = lines.sparkSession.sparkContext.broadcast(marks)
+    rare = rare_words(lines, marks, rank, similarity)
+    posted = postings(lines, rank, slices, levels, similarity, rare, marks)
+    some = posted.groupBy("part").applyInArrow(lambda group: involved(group, similarity, asked.value), INVOLVED)
+    some = materialize(some, "involved")
+    found = words_table(lines, some.select("doc", "line").distinct())
+    together = some.join(found, ["doc", "line"]).repartition("part", "token")
+    together = together.sortWithinPartitions("part", "token", "guest", "doc", "line")
+    columns = "part bigint, token bigint, doc bigint, line bigint, later boolean, guest boolean, hash bigint, words binary"
+    together = together.select(*[c.split()[0] for c in columns.split(", ")])
+    rest = together.mapInArrow(matched_in_groups(similarity), "doc bigint, line bigint, hash bigint")
+    return similar.unionByName(rest).distinct()
+
+
+class Residents:
+    """The lines of one word so far, to find one that is similar to another line."""
+
+    def __init__(self) -> None:
+        self.keys: list[tuple[int, int]] = []
+        self.sizes: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.index = None
+
+    def add(self, key: tuple[int, int], words: np.ndarray) -> None:
+        self.keys.append(key)
+        self.sizes.append(len(words))
+        self.words.append(words)
+        self.index = None
+
+    def has_similar(self, key: tuple[int, int], words: np.ndarray, similarity: tuple[int, int]) -> bool:
+        num, den = similarity
+        if not self.keys:
+            return False
+        if self.index is None:
+            every = np.concatenate(self.words)
+            owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+            order = np.argsort(every, kind="stable")
+            self.index = every[order], owner[order], np.array(self.sizes), np.array(self.keys)
+        every, owner, sizes, keys = self.index
+        a, b = np.searchsorted(every, words), np.searchsorted(every, words, "right")
+        count = b - a
+        hits = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+        shared = np.bincount(owner[hits], minlength=len(sizes))
+        good = den * shared >= num * (sizes + len(words) - shared)
+        earlier = (keys[:, 0] < key[0]) | ((keys[:, 0] == key[0]) & (keys[:, 1] < key[1]))
+        return bool((good & earlier).any())
+
+
+def matched_in_groups(similarity: tuple[int, int]):
+    """Of rows by word, residents before guests, the later lines with a similar earlier one."""
+
+    def match(batches):
+        at, residents, waiting = None, Residents(), []
+
+        def judge():
+            hit = [r for r in waiting if residents.has_similar((r[0], r[1]), r[3], similarity)]
+            columns = [pa.array([r[i] for r in hit], pa.int64()) for i in range(3)]
+            return pa.RecordBatch.from_arrays(columns, ["doc", "line", "hash"])
 
-def tried(
-    docs: DataFrame,
-    rank: np.ndarray,
-    slices: np.ndarray,
-    parts: int,
-    similarity: tuple[int, int],
-    asked: bytes | None = None,
-    wanted: bytes | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """The candidates of a round and what became of them, as written tables."""
-    posted = postings(docs, rank, slices, parts, similarity, wanted, asked)
-    rows = posted.groupBy("part").applyInArrow(candidate_finder(docs.sparkSession, similarity, asked), CANDIDATES)
-    pairs = ["doc", "line", "other_doc", "other_line"]
-    rows = materialize(rows.groupBy(*pairs).agg(F.max("more").alias("more")), "candidates")
-    return rows, materialize(verified(docs, rows, similarity), "checked")
-
-
-def rare_words(docs: DataFrame, asked: DataFrame, rank: np.ndarray, similarity: tuple[int, int]) -> bytes:
+        for batch in batches:
+            words, first = unpacked(batch["words"])
+            columns = [batch[c].to_pylist() for c in ("part", "token", "doc", "line", "later", "guest", "hash")]
+            for i, (part, token, doc, line, later, guest, hash_) in enumerate(zip(*columns)):
+                if (part, token) != at or len(waiting) > SLICE_LINES:
+                    yield judge()
+                    waiting = []
+                    if (part, token) != at:
+                        at, residents = (part, token), Residents()
+                mine = words[first[i] : first[i + 1]]
+                if later:
+                    waiting.append((doc, line, hash_, mine))
+                if not guest:
+                    residents.add((doc, line), mine)
+        yield judge()
+
+    return match
+
+
+def rare_words(lines: DataFrame, asked: bytes, rank: np.ndarray, similarity: tuple[int, int]) -> bytes:
     """A map of the prefix words of the lines asked for."""
-    ranks = docs.sparkSession.sparkContext.broadcast(rank)
-    of_doc = asked.groupBy("doc").agg(F.collect_list("line").alias("asked"))
+    shared = lines.sparkSession.sparkContext.broadcast((rank, asked))
 
     def take(batches):
-        for batch in small_batches(batches):
-            found = lines_of(batch["text"], ranks.value)
-            wanted = [set(x) for x in batch["asked"].to_pylist()]
-            mine = [i for i, (r, n) in enumerate(zip(found.row.tolist(), found.number.tolist())) if n in wanted[r]]
-            counts = prefix_sizes(np.diff(found.first), similarity)
-            words = [found.words[found.first[i] : found.first[i] + counts[i]] for i in mine]
-            words = np.concatenate([*words, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_pydict({"h": pa.array(mix(words).view(np.int64))})
-
-    return hash_map(texts_with(docs, of_doc).mapInArrow(take, "h bigint"), "h")
-
+        for batch in batches:
+            ranks, marks = shared.value
+            mine = batch.filter(pa.array(in_map(marks, line_hash(batch["doc"].to_numpy(), batch["line"].to_numpy()))))
+            words, first = sorted_lines(mine, ranks)
+            count = prefix_sizes(np.diff(first), similarity)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(mix(words[np.repeat(first[:-1], count) + place]).view(np.int64))})
 
-def candidate_finder(spark, similarity: tuple[int, int], asked: bytes | None):
-    marks = None if asked is None else spark.sparkContext.broadcast(asked)
-    return lambda group: candidates_of(group, similarity, marks and marks.value)
+    return hash_map(lines.select("doc", "line", "words").mapInArrow(take, "h bigint"), "h")
 
 
 def line_map(lines: DataFrame) -> bytes:
@@ -477,13 +709,15 @@ def line_map(lines: DataFrame) -> bytes:
 
 
 def removed_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``doc``, ``line``, ``hash`` of every line that matches an earlier one."""
+    """``doc``, ``ver``, ``line`` of every line that matches an earlier one."""
     table = line_table(docs)
-    lines = table.where("counter is null").select("doc", "line", "hash")
-    first = lines.groupBy("hash").agg(F.min(F.struct("doc", "line")).alias("first"))
-    repeated = lines.join(first, "hash").where(F.struct("doc", "line") > F.col("first"))
-    equal = repeated.select("doc", "line", "hash")
-    return equal.unionByName(similar_lines(docs, table, similarity)).distinct()
+    lines = table.where("doc is not null").select("doc", "line", "ver", "hash")
+    first = F.min(F.struct("doc", "line")).alias("first")
+    repeated = lines.groupBy("hash").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "first")
+    repeated = materialize(repeated, "repeated")
+    equal = lookup(lines, repeated, ["hash"]).where(F.struct("doc", "line") > F.col("first"))
+    similar = lines.join(similar_lines(table, similarity), ["doc", "line", "hash"], "left_semi")
+    return equal.select("doc", "ver", "line").unionByName(similar.select("doc", "ver", "line")).distinct()
 
 
 def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -500,33 +734,17 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(True).alias("none")]
     rows = docs.select("doc_id", "text", F.struct(*others).alias("rest"))
     gone = materialize(removed_lines(rows.select("doc_id", "text"), similarity), "removed")
-    of_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("line", "hash")).alias("gone"))
-    marks = rows.sparkSession.sparkContext.broadcast(hash_map(of_doc.select(F.xxhash64("doc").alias("h")), "h"))
+    of_doc = gone.groupBy("doc", "ver").agg(F.collect_list("line").alias("gone"))
     kind = dict(rows.dtypes)["doc_id"]
     rest = rows.schema["rest"].dataType.simpleString()
     out = f"doc_id {kind}, kept string, n_lines bigint, n_removed bigint, rest {rest}"
-    keyed = rows.select("doc_id", "text", "rest", F.xxhash64(key_of(rows)).alias("h"))
-
-    def deal(hit: bool):
-        def choose(batches):
-            for batch in batches:
-                kept = in_map(marks.value, batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))
-                yield batch.filter(pa.array(kept if hit else ~kept))
-
-        return choose
 
     def cut(batches):
         for batch in small_batches(batches):
             texts = batch["text"].to_pylist()
-            gone = batch["gone"].to_pylist() if "gone" in batch.schema.names else [None] * len(texts)
-            drop: list[set[int]] = [set() for _ in texts]
-            if any(gone):
-                found = lines_of(batch["text"])
-                known = [{(g["line"], g["hash"]) for g in gs or ()} for gs in gone]
-                for r, n, h in zip(found.row.tolist(), found.number.tolist(), found.hash.view(np.int64).tolist()):
-                    if (n, h) in known[r]:
-                        drop[r].add(n)
+            gone = batch["gone"].to_pylist()
             lines = [t.split("\n") if t is not None else [] for t in texts]
+            drop = [set(g or ()) for g in gone]
             kept = [
                 None if t is None else t if not d else "\n".join([x for i, x in enumerate(ls) if i not in d])
                 for t, ls, d in zip(texts, lines, drop)
@@ -541,11 +759,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
                 }
             )
 
-    schema = f"doc_id {kind}, text string, rest {rest}, h bigint"
-    clean = keyed.mapInArrow(lambda batches: cut(deal(False)(batches)), out)
-    touched = keyed.mapInArrow(deal(True), schema)
-    touched = touched.withColumn("doc", key_of(touched)).join(of_doc, "doc", "left")
-    return clean.unionByName(touched.select("doc_id", "text", "rest", "gone").mapInArrow(cut, out))
+    return texts_with(rows, of_doc).select("doc_id", "text", "rest", "gone").mapInArrow(cut, out)
 
 
 def op10_lines(spark, sf_dir):
