@@ -33,7 +33,7 @@ COUNTER_SLICES = 64
 FREQUENT = 1 << 14  # a word of more than this part of all words may be dealt over slices
 WORD_BYTES = 5  # of a word's hash in the table of lines
 PART_WORDS = 10_000_000  # words of the input for each group of postings
-FLUSH = 1_000_000  # postings that a task sorts before it sends them
+FLUSH = 300_000  # postings that a task sorts before it sends them
 MOST_WIDTH = 64  # 64-bit words of a signature at most
 SLICE_LINES = 1 << 13  # a word that more lines may hold has its lines dealt over slices
 GUEST, SLICED = 1, 2
@@ -253,6 +253,13 @@ def sorted_lines(batch: pa.RecordBatch, rank: np.ndarray) -> tuple[np.ndarray, n
     return words[word_order(line, rank[slot], words << np.uint64(64 - 8 * WORD_BYTES))], first
 
 
+def with_word_in(batch: pa.RecordBatch, wanted: bytes) -> np.ndarray:
+    """The lines that have a word of the map."""
+    words, first = unpacked(batch["words"])
+    hits = np.concatenate(([0], np.cumsum(in_map(wanted, mix(words)))))
+    return np.diff(hits[first]) > 0
+
+
 def postings(
     lines: DataFrame,
     rank: np.ndarray,
@@ -268,7 +275,7 @@ def postings(
     ``wanted`` is a map of the words that are wanted, None of all. The lines of a
     frequent word are dealt over its slices; a line in the map ``asked`` is a guest
     in all other slices too, where others are not compared with it. A task sends 64
-    rows for a million postings, and so does each further step of routing.
+    rows for every ``FLUSH`` postings, and so does each further step of routing.
     """
     frequent = np.array(sorted(slices), np.uint64)
     times_of = np.array([slices[w] for w in sorted(slices)] + [1], np.int64)
@@ -278,6 +285,8 @@ def postings(
         waiting, size = [], 0
         ranks, words_wanted, lines_asked = shared.value
         for batch in batches:
+            if words_wanted is not None:
+                batch = batch.filter(pa.array(with_word_in(batch, words_wanted)))
             words, first = sorted_lines(batch, ranks)
             sizes = np.diff(first)
             doc, number = batch["doc"].to_numpy(), batch["line"].to_numpy()
