@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import decontamination, lines, nearcopies, packing, toxicity
+from corpusprep.llm import decontamination, lines, packing, simhash, toxicity
 from corpusprep.sources.scratch import materialize
 
 #: SQL cannot express a trained model, tiling or token ids; tests use brute force.
@@ -38,15 +38,17 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 0.8 of their 5-word shingles the one with the smallest id.
+    """Of each group of documents that SimHash links the one with the smallest id.
 
-    Rows that share an id but not their text are judged each for itself; of one id in
-    one group the text with the smaller hash stays, then the row with the smaller one.
+    Fingerprints are those of 3-word shingles and link at 3 bits or fewer. Rows that
+    share an id but not their text are judged each for itself; of one id in one group
+    the text with the smaller hash stays, then the row with the smaller one.
     """
     rows = keyed(docs)
     of = F.struct("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("row").alias("row_hash"))
     rows = rows.withColumn("of", of)
-    found = nearcopies.near_copies(rows.select(F.col("of").alias("doc_id"), "text"))
+    named = rows.select(F.col("of").alias("doc_id"), "text")
+    found = simhash.near_duplicates(named, simhash.SHINGLE_WORDS, simhash.MAX_DISTANCE)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("of")).distinct()
     one = rows.join(kept, "of", "left_semi").select("of", "row").dropDuplicates(["of"])
     return one.select("row.*")
