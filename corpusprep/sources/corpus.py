@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusprep.config import EOS, SPLITTER
+from corpusprep.sources.jsonarray import read_json_array
 
 STORY_SCHEMA = "source string, story string"
 
@@ -16,10 +17,10 @@ def read_story_json(spark: SparkSession, path: str) -> DataFrame:
     A record without a source is on no list; a record without a story is an error
     only once its source is accepted (``plans.corpus``). A broken file is an error.
     ``story_id`` is taken from the story's digest, so it does not hang on how files
-    are dealt to tasks; records with one text share it. An array is read by one
-    task, so large corpora should come in many files.
+    are dealt to tasks; records with one text share it. A large array is read by
+    many tasks (``jsonarray``).
     """
-    raw = spark.read.schema(STORY_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
+    raw = read_json_array(spark, path, STORY_SCHEMA)
     digest = F.conv(F.substring(F.md5(F.col("story")), 1, 15), 16, 10).cast("bigint")
     return raw.select(digest.alias("story_id"), "source", F.col("story").alias("text"))
 
