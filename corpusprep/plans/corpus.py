@@ -36,7 +36,7 @@ def story_records(stories: DataFrame, cfg: CorpusConfig) -> DataFrame:
     A line equal to the marker ends a story; what follows it is a story of its own,
     whose id is taken from a digest of the first one's id and the part.
     """
-    parts = stories.withColumn("_parts", marked_parts(clean_lines(F.col("text")), cfg.keep_empty))
+    parts = stories.withColumn("_parts", marked_parts(F.col("text"), cfg.keep_empty))
     others = [F.col(c) for c in stories.columns if c not in ("story_id", "text")]
     cut = parts.select("story_id", *others, F.posexplode("_parts").alias("_no", "_lines"))
     digest = F.conv(F.substring(F.md5(F.concat_ws(":", "story_id", "_no")), 1, 15), 16, 10).cast("bigint")
@@ -45,11 +45,19 @@ def story_records(stories: DataFrame, cfg: CorpusConfig) -> DataFrame:
     return first_stories(records.select(*stories.columns), cfg.max_stories)
 
 
-def marked_parts(lines: Column, keep_empty: bool, eos: str = EOS) -> Column:
-    """The lines between marker lines, as an array of arrays; empty parts may go."""
+def marked_parts(text: Column, keep_empty: bool, eos: str = EOS) -> Column:
+    """The cleaned lines between marker lines, as an array of arrays; empty parts may go.
+
+    Only a text that holds the marker is cut. Its lines are computed once: the lambda
+    over an array of one element gives them a name.
+    """
+    cut = F.get(F.transform(F.array(clean_lines(text)), lambda lines: parts_between(lines, eos)), 0)
+    parts = F.when(text.contains(eos), cut).otherwise(F.array(clean_lines(text)))
+    return parts if keep_empty else F.filter(parts, lambda p: F.size(p) > 0)
+
+
+def parts_between(lines: Column, eos: str) -> Column:
     bounds = F.filter(F.transform(lines, lambda x, i: F.when(x == eos, i + 1)), lambda i: i.isNotNull())
     ends = F.concat(bounds, F.array(F.size(lines) + 1))
     starts = F.concat(F.array(F.lit(0)), bounds)
-    parts = F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a - 1))
-    parts = F.when(F.exists(lines, lambda x: x == eos), parts).otherwise(F.array(lines))
-    return parts if keep_empty else F.filter(parts, lambda p: F.size(p) > 0)
+    return F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a - 1))
