@@ -512,23 +512,20 @@ def line_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
 
 
-def texts_with(rows: DataFrame, of_doc: DataFrame) -> DataFrame:
-    """``rows`` with ``gone`` of their text; texts that lose no line stay out of the shuffle."""
-    marks = rows.sparkSession.sparkContext.broadcast(hash_map(of_doc.select(F.xxhash64("doc", "ver").alias("h")), "h"))
-    keyed = rows.withColumns({"doc": key_of(rows), "ver": F.xxhash64("text")})
-    keyed = keyed.withColumn("h", F.xxhash64("doc", "ver"))
+def marked_texts(marks, hit: bool):
+    """The rows whose hash is in the map, or those whose hash is not."""
+
+    def choose(batches):
+        for batch in batches:
+            kept = in_map(marks.value, batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(kept if hit else ~kept))
 
-    def deal(hit: bool):
-        def choose(batches):
-            for batch in batches:
-                kept = in_map(marks.value, batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))
-                yield batch.filter(pa.array(kept if hit else ~kept))
+    return choose
 
-        return choose
 
-    clean = keyed.mapInArrow(deal(False), keyed.schema).withColumn("gone", F.lit(None).cast("array<bigint>"))
-    touched = keyed.mapInArrow(deal(True), keyed.schema).join(of_doc, ["doc", "ver"], "left")
-    return clean.unionByName(touched)
+def texts_with(keyed: DataFrame, of_doc: DataFrame) -> DataFrame:
+    """``keyed`` with ``gone``, the lines that its text loses."""
+    return keyed.join(of_doc, ["doc", "ver"], "left")
 
 
 def key_of(docs: DataFrame):
@@ -751,7 +748,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     def cut(batches):
         for batch in small_batches(batches):
             texts = batch["text"].to_pylist()
-            gone = batch["gone"].to_pylist()
+            gone = batch["gone"].to_pylist() if "gone" in batch.schema.names else [None] * len(texts)
             lines = [t.split("\n") if t is not None else [] for t in texts]
             drop = [set(g or ()) for g in gone]
             kept = [
@@ -768,7 +765,11 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
                 }
             )
 
-    return texts_with(rows, of_doc).select("doc_id", "text", "rest", "gone").mapInArrow(cut, out)
+    marks = rows.sparkSession.sparkContext.broadcast(hash_map(of_doc.select(F.xxhash64("doc", "ver").alias("h")), "h"))
+    keyed = rows.withColumns({"doc": key_of(rows), "ver": F.xxhash64("text")}).withColumn("h", F.xxhash64("doc", "ver"))
+    clean = keyed.mapInArrow(lambda batches: cut(marked_texts(marks, False)(batches)), out)
+    touched = texts_with(keyed.mapInArrow(marked_texts(marks, True), keyed.schema), of_doc)
+    return clean.unionByName(touched.select("doc_id", "text", "rest", "gone").mapInArrow(cut, out))
 
 
 def op10_lines(spark, sf_dir):
