@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +15,7 @@ from corpusprep.llm.common import documents
 SIZES = (1, 2, 3)  # characters of an n-gram
 SLOTS = 4096  # n-grams are hashed to this many components
 CENTROIDS = 4  # at most, per language
-SMALLEST_CLUSTER = 0.1  # share of a language's sample below which a cluster is dropped
+SMALLEST_CLUSTER = 0.1  # share of a language's sample that every cluster holds at least
 SAMPLE_PER_LANGUAGE = 1000  # about this many documents of a language fit its centroids
 REJECT_QUANTILE = 0.999  # farther than so much of the sample means rejected
 SLICE = 1 << 20  # characters handled at once
@@ -70,28 +71,74 @@ class Model(NamedTuple):
         return self.languages[best], score, bool(1 - score > self.radius[best])
 
 
-def cluster(vectors: np.ndarray, most: int = CENTROIDS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from far-apart first centres: centroids and radii."""
-    centres = [vectors.mean(axis=0)]
-    centres[0] /= np.linalg.norm(centres[0]) or 1
-    near = vectors @ centres[0]
-    for _ in range(most - 1):
-        centres.append(vectors[int(np.argmin(near))])
-        near = np.maximum(near, vectors @ centres[-1])
-    centres = np.array(centres)
+def lloyd(vectors: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means from given centres: centres and each vector's nearest one."""
+    centres = centres.copy()
     for _ in range(rounds):
         member = np.argmax(vectors @ centres.T, axis=1)
         for k in range(len(centres)):
             if (member == k).any():
                 middle = vectors[member == k].sum(axis=0)
                 centres[k] = middle / (np.linalg.norm(middle) or 1)
-    cosine = vectors @ centres.T
-    member = np.argmax(cosine, axis=1)
-    share = np.bincount(member, minlength=len(centres)) / len(vectors)
-    kept = np.flatnonzero(share >= min(SMALLEST_CLUSTER, share.max()))
-    distance = 1 - cosine.max(axis=1)
-    radius = [float(np.quantile(distance[member == k], REJECT_QUANTILE)) for k in kept]
-    return centres[kept], np.array(radius)
+    return centres, np.argmax(vectors @ centres.T, axis=1)
+
+
+def unit_means(vectors: np.ndarray, member: np.ndarray) -> np.ndarray:
+    means = np.array([vectors[member == k].sum(axis=0) for k in range(member.max() + 1)])
+    norms = np.linalg.norm(means, axis=1, keepdims=True)
+    return means / np.where(norms == 0, 1, norms)
+
+
+def halves(vectors: np.ndarray, least: int, rounds: int = 12) -> np.ndarray | None:
+    """0 or 1 for every vector, each at least ``least`` times; None if all are equal.
+
+    The cut starts at the median along the direction of greatest spread and is
+    refined by k-means, unless that leaves one side too small.
+    """
+    spread = vectors - vectors.mean(axis=0)
+    direction = spread[np.argmax((spread**2).sum(axis=1))]
+    for _ in range(rounds):
+        direction = spread.T @ (spread @ direction)
+        norm = np.linalg.norm(direction)
+        if norm < 1e-9:
+            return None
+        direction = direction / norm
+    cut = np.zeros(len(vectors), np.int64)
+    cut[np.argsort(spread @ direction, kind="stable")[len(vectors) // 2 :]] = 1
+    _, refined = lloyd(vectors, unit_means(vectors, cut), rounds)
+    return refined if np.bincount(refined, minlength=2).min() >= least else cut
+
+
+def cluster(vectors: np.ndarray, most: int = CENTROIDS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Bisecting spherical k-means: up to ``most`` centroids and their radii.
+
+    The cluster with the largest sum of distances is cut in two until there are
+    enough; a side holds at least ``SMALLEST_CLUSTER`` of all vectors, so outliers
+    make no centroid of their own. Only equal or very few vectors leave one centroid.
+    """
+    least = max(1, math.ceil(SMALLEST_CLUSTER * len(vectors)))
+    member, whole = np.zeros(len(vectors), np.int64), set()
+    while member.max() + 1 < most:
+        distance = 1 - (vectors * unit_means(vectors, member)[member]).sum(axis=1)
+        loose = np.bincount(member, distance)
+        small = np.bincount(member) < 2 * least
+        order = [k for k in np.argsort(-loose, kind="stable").tolist() if not small[k] and k not in whole]
+        if not order:
+            break
+        at = np.flatnonzero(member == order[0])
+        side = halves(vectors[at], least)
+        if side is None:
+            whole.add(order[0])
+        else:
+            member[at[side == 1]] = member.max() + 1
+    centres, found = lloyd(vectors, unit_means(vectors, member), rounds)
+    if np.bincount(found, minlength=len(centres)).min() >= least:
+        member = found
+    else:
+        centres = unit_means(vectors, member)
+    distance = 1 - (vectors * centres[member]).sum(axis=1)
+    radius = [float(np.quantile(distance[member == k], REJECT_QUANTILE)) for k in range(len(centres))]
+    return centres, np.array(radius)
 
 
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
@@ -116,7 +163,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on ``docs(doc_id, text, lang)``; rows with a null text or lang teach nothing.
 
     Document frequencies cover all rows. The centroids of a language are fitted in
-    one task on about ``sample`` of its documents, those with the smallest id hashes.
+    one task on the vectors of about ``sample`` of its documents, those with the
+    smallest hashes; texts become vectors of a fixed size before they meet.
     """
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null")
@@ -126,16 +174,20 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     share = F.lit(sample) / F.col("n")
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)
 
+    def embed(batches):
+        for batch in batches:
+            codes = [letters_of(t) for t in batch["text"]]
+            vectors = [vector(count_grams(c), idf).astype("<f4").tobytes() if LETTER[c].any() else None for c in codes]
+            yield pd.DataFrame({"lang": batch["lang"], "vector": vectors}).dropna()
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = [letters_of(t) for t in rows.sort_values(["doc_id", "text"])["text"]]
-        vectors = [vector(count_grams(c), idf) for c in codes if LETTER[c].any()]
-        if not vectors:
-            return pd.DataFrame({"lang": [], "centroid": [], "radius": []})
-        centres, radius = cluster(np.array(vectors, np.float32))
+        vectors = [np.frombuffer(v, "<f4") for v in sorted(rows["vector"])]
+        centres, radius = cluster(np.array(vectors))
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [c.astype("<f4").tobytes() for c in centres], "radius": radius})
 
     fitted = (
-        known.join(F.broadcast(counts), "lang").where(drawn).select("doc_id", "text", "lang")
+        known.join(F.broadcast(counts), "lang").where(drawn).select("lang", "text")
+        .mapInPandas(embed, "lang string, vector binary")
         .groupBy("lang").applyInPandas(fit, "lang string, centroid binary, radius double").collect()
     )
     fitted.sort(key=lambda r: (r.lang, bytes(r.centroid)))
