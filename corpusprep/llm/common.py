@@ -77,6 +77,17 @@ def texts_of(column: pa.ChunkedArray | pa.Array, lower: bool = False) -> tuple[n
     return data[int(bounds[0]) :], bounds - bounds[0]
 
 
+def plain_borders(column: pa.ChunkedArray | pa.Array) -> pa.ChunkedArray | pa.Array:
+    """Texts with a blank for every run of non-ASCII characters other than letters, digits and marks.
+
+    Curly quotes, long dashes and no-break spaces then separate words as ASCII does.
+    """
+    column = pc.fill_null(column, "")
+    if pc.all(pc.string_is_ascii(column)).as_py() is not False:
+        return column
+    return pc.replace_substring_regex(column, BORDERS, " ")
+
+
 def ids_of(column: pa.ChunkedArray) -> np.ndarray:
     """Integer ids, with null as ``NULL_ID``."""
     return pc.fill_null(column.cast(pa.int64()), NULL_ID).to_numpy()
@@ -107,6 +118,7 @@ class Words(NamedTuple):
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BORDERS = r"[^\x00-\x7F\p{L}\p{N}\p{M}]+"
 NOT_ALPHANUMERIC = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 

@@ -15,6 +15,7 @@ from corpusprep.llm.common import (
     hash_map,
     in_map,
     inside_text,
+    plain_borders,
     texts_of,
     words_of,
 )
@@ -26,7 +27,7 @@ COVERAGE = 0.8  # share of an item's words that tiles must cover
 
 def normalised(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the lower-case words of texts, first word of each, and their seeds' validity."""
-    words = words_of(*texts_of(column, lower=True), NOT_ALPHANUMERIC)
+    words = words_of(*texts_of(plain_borders(column), lower=True), NOT_ALPHANUMERIC)
     whole = inside_text(words.first, TILE_WORDS, len(words.hashes))
     return words.hashes, words.first, whole
 
@@ -104,9 +105,10 @@ def contaminated(
 
     A document is contaminated by an item if tiles of at least ``TILE_WORDS`` words
     cover at least ``coverage`` of the item's words, in whatever order they stand.
-    Words are lower-cased runs of letters and digits. Items with fewer words than a
-    tile and null texts match nothing. Repeated rows of documents and items with the
-    same id count as one text per distinct text; a null id is an id like any other.
+    Words are lower-cased runs of letters, marks and digits of any script. Items with
+    fewer words than a tile and null texts match nothing. Of rows that share an id, the
+    text that covers most counts (then the greatest ``tiles`` as text), so there is one
+    row per document id and item text; a null id is an id like any other.
 
     Seeds are joined first: tasks drop the runs that the seed map excludes, and a
     pair goes on only if the item's words in shared seeds reach the coverage, which
@@ -179,7 +181,8 @@ def contaminated(
     kind = dict(docs.dtypes)["doc_id"]
     pairs = hashed.join(asked, "doc").select("doc_id", "text", "item", "item_text")
     schema = f"doc_id {kind}, item string, covered bigint, words bigint, coverage double, tiles string"
-    found = pairs.mapInArrow(tile, schema).dropDuplicates(["doc_id", "item"])
+    best = F.max(F.struct("covered", "tiles", "words", "coverage")).alias("best")
+    found = pairs.mapInArrow(tile, schema).groupBy("doc_id", "item").agg(best).select("doc_id", "item", "best.*")
     return found.join(items.select("item_id", "item"), "item").select(
         "doc_id", "item_id", "covered", "words", "coverage", "tiles"
     )

@@ -17,7 +17,6 @@ SEARCH_BEAM = 96
 RELAXATION = 1.2  # a neighbour is dropped if a kept one is so many times closer to it
 SHARD_ROWS = 50_000
 LEAST_SHARDS = 8
-QUERY_BLOCK = 1024
 BATCH = 256  # nodes or queries that move through the graph together
 
 
@@ -220,24 +219,21 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, least_shards: int
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(index, schema), "graphs"), shards
 
 
-def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
-    """Queries in blocks of about ``size``; of rows with one id the smallest vector asks."""
+def one_per_id(queries: DataFrame) -> DataFrame:
+    """``vec_id``, ``vector`` and ``dim``; of rows with one id the smallest vector asks."""
     one = queries.groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min("vector").alias("vector"))
-    blocks = max(1, -(-queries.count() // size))
+    return one.select("vec_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.array(group["vector"].tolist(), "<f8")
-        row = {
-            "dim": vectors.shape[1],
-            "block": int(group["block"].iloc[0]),
-            "queries": vectors.tobytes(),
-            "query_ids": group["vec_id"].to_numpy("<i8").tobytes(),
-        }
-        return pd.DataFrame([row])
 
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    dealt = one.select("vec_id", "vector", F.size("vector").alias("dim"), block)
-    return dealt.groupBy("dim", "block").applyInPandas(join, "dim int, block int, queries binary, query_ids binary")
+def open_graph(row) -> Graph:
+    n = len(row.vectors) // (8 * row.dim)
+    return Graph(
+        vectors_of(row.vectors, row.dim),
+        np.frombuffer(row.ids, "<i8"),
+        np.frombuffer(row.first, "<i8"),
+        np.frombuffer(row.edges, "<i4").reshape(n, -1).astype(np.int64),
+        row.entry,
+    )
 
 
 def nearest(
@@ -249,31 +245,33 @@ def nearest(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` from ``rows`` and ``queries`` (vec_id, vector).
 
-    All rows are indexed; each block of queries searches each shard's graph and the
-    results are merged. Scores are Euclidean distances of the given vectors in
+    All rows are indexed. A shard's task reads its graph once and then streams all
+    queries of that dimension past it; the results are merged. Scores are Euclidean distances of the given vectors in
     double precision; ties go to the smaller id. Vectors of another dimension, null,
     zero or not finite ones and null ids take no part. Rows repeated with an id
     count once, at their nearest vector.
     """
     graphs, shards = build_index(usable(rows), shard_rows)
-    blocks = query_blocks(usable(queries)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def look(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in group.itertuples():
-            n = len(r.vectors) // (8 * r.dim)
-            graph = Graph(
-                vectors_of(r.vectors, r.dim),
-                np.frombuffer(r.ids, "<i8"),
-                np.frombuffer(r.first, "<i8"),
-                np.frombuffer(r.edges, "<i4").reshape(n, -1).astype(np.int64),
-                r.entry,
-            )
-            out.append(search(graph, np.frombuffer(r.query_ids, "<i8"), vectors_of(r.queries, r.dim), k, width))
-        return pd.concat(out, ignore_index=True)
-
-    pairs = graphs.join(blocks, ["dim", "shard"])
-    found = pairs.groupBy("dim", "shard", "block").applyInPandas(look, "query_id bigint, vec_id bigint, score double")
+    each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asked = one_per_id(usable(queries)).select("*", each_shard)
+
+    def look(batches):
+        graph, of = None, None
+        for batch in batches:
+            for (dim, shard), rows in batch.groupby(["dim", "shard"], sort=True):
+                if pd.isna(rows["vec_id"].iloc[0]):  # the graph comes before its queries
+                    graph, of, rows = open_graph(rows.iloc[0]), (dim, shard), rows.iloc[1:]
+                if of != (dim, shard):  # no rows of that dimension in the shard
+                    continue
+                for at in range(0, len(rows), BATCH):
+                    some = rows.iloc[at : at + BATCH]
+                    vectors = np.array(some["vector"].tolist(), float)
+                    yield search(graph, some["vec_id"].to_numpy(np.int64), vectors, k, width)
+
+    # A partition is a shard: its graphs (no query id) sort before the queries that stream past.
+    stream = graphs.unionByName(asked, allowMissingColumns=True)
+    stream = stream.repartitionById(shards, "shard").sortWithinPartitions("dim", F.asc_nulls_first("vec_id"))
+    found = stream.mapInPandas(look, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
