@@ -226,13 +226,14 @@ def one_per_id(queries: DataFrame) -> DataFrame:
 
 
 def open_graph(row) -> Graph:
-    n = len(row.vectors) // (8 * row.dim)
+    dim = int(row["dim"])
+    n = len(row["vectors"]) // (8 * dim)
     return Graph(
-        vectors_of(row.vectors, row.dim),
-        np.frombuffer(row.ids, "<i8"),
-        np.frombuffer(row.first, "<i8"),
-        np.frombuffer(row.edges, "<i4").reshape(n, -1).astype(np.int64),
-        row.entry,
+        vectors_of(row["vectors"], dim),
+        np.frombuffer(row["ids"], "<i8"),
+        np.frombuffer(row["first"], "<i8"),
+        np.frombuffer(row["edges"], "<i4").reshape(n, -1).astype(np.int64),
+        int(row["entry"]),
     )
 
 
@@ -252,14 +253,16 @@ def nearest(
     count once, at their nearest vector.
     """
     graphs, shards = build_index(usable(rows), shard_rows)
+    # Ids have no nulls beside them, since pandas would turn them into doubles.
+    graphs = graphs.withColumns({"vec_id": F.lit(0).cast("bigint"), "asks": F.lit(False)})
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = one_per_id(usable(queries)).select("*", each_shard)
+    asked = one_per_id(usable(queries)).select("*", F.lit(True).alias("asks"), each_shard)
 
     def look(batches):
         graph, of = None, None
         for batch in batches:
             for (dim, shard), rows in batch.groupby(["dim", "shard"], sort=True):
-                if pd.isna(rows["vec_id"].iloc[0]):  # the graph comes before its queries
+                if not rows["asks"].iloc[0]:  # the graph comes before its queries
                     graph, of, rows = open_graph(rows.iloc[0]), (dim, shard), rows.iloc[1:]
                 if of != (dim, shard):  # no rows of that dimension in the shard
                     continue
@@ -268,9 +271,9 @@ def nearest(
                     vectors = np.array(some["vector"].tolist(), float)
                     yield search(graph, some["vec_id"].to_numpy(np.int64), vectors, k, width)
 
-    # A partition is a shard: its graphs (no query id) sort before the queries that stream past.
+    # A partition is a shard: its graphs sort before the queries that stream past.
     stream = graphs.unionByName(asked, allowMissingColumns=True)
-    stream = stream.repartitionById(shards, "shard").sortWithinPartitions("dim", F.asc_nulls_first("vec_id"))
+    stream = stream.repartitionById(shards, "shard").sortWithinPartitions("dim", "asks", "vec_id")
     found = stream.mapInPandas(look, "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
