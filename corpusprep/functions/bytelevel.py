@@ -8,9 +8,16 @@ order of token ids. Whole-stage JVM string functions do all the work.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusprep.functions.arrow import small_arrays
+
 # The byte ranges that print as themselves in the byte alphabet,
 # and the id of the end-of-story token.
 PRINTABLE_RANGES = ((33, 126), (161, 172), (174, 255))
@@ -60,7 +67,52 @@ def byte_symbols(word: Column) -> Column:
     return F.translate(latin, _BYTE_CHARS, _BYTE_SYMBOLS)
 
 
+def ids_of(symbols: pa.Array) -> pa.Array:
+    """Strings of symbols as lists of token ids, without the word breaks."""
+    filled = pc.fill_null(symbols, "")
+    lengths = pc.utf8_length(filled).to_numpy(zero_copy_only=False)
+    codes = np.frombuffer("".join(filled.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+    kept = codes != ord(WORD_BREAK)
+    ends = np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))]
+    codes = codes[kept]
+    codes[codes >= SURROGATES.stop] -= len(SURROGATES)
+    offsets = pa.array(ends.astype(np.int32), mask=np.append(pc.is_null(symbols).to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(codes - SYMBOL_BASE))
+
+
+def symbols_of(ids: pa.Array) -> pa.Array:
+    """Lists of token ids as strings of symbols."""
+    flat = ids.flatten()
+    codes = flat.to_numpy(zero_copy_only=False) + SYMBOL_BASE
+    if len(codes) and (flat.null_count or codes.min() < SYMBOL_BASE or codes.max() >= SYMBOL_BASE + MAX_TOKENS):
+        raise ValueError("token ids out of range")
+    codes = np.where(codes >= SURROGATES.start, codes + len(SURROGATES), codes).astype("<u4")
+    whole = codes.tobytes().decode("utf-32-le")
+    counts = pc.list_value_length(ids).to_pylist()
+    at, texts = 0, []
+    for count in counts:
+        texts.append(None if count is None else whole[at : at + count])
+        at += count or 0
+    return pa.array(texts, pa.string())
+
+
 def symbol_ids(symbols: Column) -> Column:
-    """A string of symbols as an array of token ids."""
-    letters = F.array_remove(F.split(symbols, ""), "")
-    return F.transform(letters, symbol_id)
+    """A string of symbols as an array of token ids; word breaks give none."""
+
+    @F.arrow_udf("array<bigint>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in small_arrays(batches):
+            yield ids_of(texts)
+
+    return ids(symbols)
+
+
+def id_symbols(ids: Column) -> Column:
+    """An array of token ids as a string of symbols: a byte or two a token, not eight."""
+
+    @F.arrow_udf("string")
+    def symbols(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in small_arrays(batches):
+            yield symbols_of(lists)
+
+    return symbols(ids)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusprep.functions.arrow import small_arrays
+
 # Fixed value: texts made of these characters only are already normalised
 # (ASCII, Latin letters without compatibility forms, common punctuation).
 UNCHANGED = (
@@ -22,11 +26,13 @@ def is_plain(text: Column) -> Column:
 def nfkc(text: Column) -> Column:
     """Normalised text. Only texts that could change are sent to Python."""
 
-    @F.pandas_udf("string")
-    def normalize(texts: pd.Series) -> pd.Series:
-        import unicodedata
+    @F.arrow_udf("string")
+    def normalize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from unicodedata import normalize as form
 
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+        for texts in small_arrays(batches):
+            done = [t if t is None else form("NFKC", t) for t in texts.to_pylist()]
+            yield pa.array(done, pa.string())
 
     return F.coalesce(normalize(F.when(~is_plain(text), text)), text)
 
@@ -34,12 +40,12 @@ def nfkc(text: Column) -> Column:
 def nfkc_parts(text: Column, parts: Column) -> Column:
     """The parts of a text, each normalised by itself."""
 
-    @F.pandas_udf("array<string>")
-    def normalize(rows: pd.Series) -> pd.Series:
-        import unicodedata
+    @F.arrow_udf("array<string>")
+    def normalize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from unicodedata import normalize as form
 
-        return rows.map(
-            lambda row: [unicodedata.normalize("NFKC", p) for p in row], na_action="ignore"
-        )
+        for rows in small_arrays(batches):
+            done = [row if row is None else [form("NFKC", p) for p in row] for row in rows.to_pylist()]
+            yield pa.array(done, pa.list_(pa.string()))
 
     return F.coalesce(normalize(F.when(~is_plain(text), parts)), parts)

@@ -22,14 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.config import EOS
+from corpusprep.functions.arrow import small_arrays
 from corpusprep.functions.bytelevel import (
     BYTE_OF_ID,
     EOS_ID,
     MAX_TOKENS,
     WORD_BREAK,
     byte_symbols,
+    ids_of,
     symbol,
     symbol_id,
+    symbol_ids,
     token_id,
 )
 from corpusprep.functions.normalize import nfkc
@@ -44,7 +47,7 @@ MAX_RUNS = 100_000
 # Up to this many merges strings are rewritten by JVM functions, one pass per
 # merge; above it, words are looked up in a per-task cache.
 NATIVE_MERGES = 32
-CACHED_WORDS = 500_000
+CACHED_WORDS = 50_000
 LONG_WORD = 256
 
 
@@ -109,11 +112,19 @@ def apply_merges(symbols: Column, merges: Sequence[Merge], reused: bool = False)
     )
 
 
-def merge_words(merges: Sequence[Merge], reused: bool):
-    """UDF on strings of symbols that merges each distinct word of a task once.
+def token_ids(symbols: Column, merges: Sequence[Merge], reused: bool = False) -> Column:
+    """``apply_merges`` and then the ids of the tokens, in one pass through Python."""
+    if len(merges) > NATIVE_MERGES or reused:
+        return merge_words(merges, reused, as_ids=True)(symbols)
+    return symbol_ids(apply_merges(symbols, merges))
+
+
+def merge_words(merges: Sequence[Merge], reused: bool, as_ids: bool = False):
+    """UDF on strings of symbols that merges the words that a task repeats once.
 
-    Its closure holds the merges, whose number ``vocab_size`` bounds, and the
-    cache is emptied when full. Nothing is sent between tasks.
+    Its closure holds the merges, whose number ``vocab_size`` bounds. A full cache
+    makes way for a new one, which takes over the words that come up again.
+    Nothing is sent between tasks.
     """
     pairs = [symbol(m.left_id) + symbol(m.right_id) for m in merges]
     joined = [symbol(m.new_id) for m in merges]
@@ -123,9 +134,10 @@ def merge_words(merges: Sequence[Merge], reused: bool):
     longest = float("inf") if reused else LONG_WORD
     word_break, limit = WORD_BREAK, CACHED_WORDS
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("array<bigint>" if as_ids else "string")
     def merged_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, str] = {}
+        earlier: dict[str, str] = {}
 
         def ranks_of(word: str) -> list[int]:
             return [rank.get(a + b, unknown) for a, b in zip(word, word[1:])]
@@ -149,14 +161,19 @@ def merge_words(merges: Sequence[Merge], reused: bool):
             return "".join(parts)
 
         def merge(word: str) -> str:
-            merged = merge_long(word) if len(word) > longest else merge_short(word)
+            nonlocal cache, earlier
+            merged = earlier.get(word)
+            if merged is None:
+                merged = merge_long(word) if len(word) > longest else merge_short(word)
+            if len(word) > LONG_WORD:
+                return merged  # so that the number of cached words bounds their bytes
             if len(cache) >= limit:
-                cache.clear()
+                cache, earlier = {}, cache
             cache[word] = merged
             return merged
 
-        for batch in batches:
-            # Python sees each distinct word of a batch once; the rest is Arrow's work.
+        for batch in small_arrays(batches):
+            # Python sees each distinct word of a slice once; the rest is Arrow's work.
             lists = pc.split_pattern(batch, word_break)
             found = pc.list_flatten(lists).dictionary_encode()
             merged = [cache.get(w) or merge(w) for w in found.dictionary.to_pylist()]
@@ -164,7 +181,8 @@ def merge_words(merges: Sequence[Merge], reused: bool):
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
             whole = pc.binary_join(pa.ListArray.from_arrays(offsets, flat), word_break)
-            yield pc.if_else(pc.is_valid(batch), whole, pa.scalar(None, pa.string()))
+            whole = pc.if_else(pc.is_valid(batch), whole, pa.scalar(None, pa.string()))
+            yield ids_of(whole) if as_ids else whole
 
     return merged_words
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.functions.bytelevel import EOS_ID, WORD_BREAK, symbol_ids
+from corpusprep.functions.bytelevel import EOS_ID
 from corpusprep.functions.normalize import nfkc_parts
 from corpusprep.functions.pretokenize import join_segments, segment_symbols, segments
-from corpusprep.operators.bpe import Tokenizer, apply_merges, vocab_table
+from corpusprep.operators.bpe import Tokenizer, token_ids, vocab_table
 
 
 def text_symbols(text: Column, eos: str) -> Column:
@@ -22,8 +22,7 @@ def encode(
 ) -> DataFrame:
     """Replace the text column by token ids, row by row where the rows are."""
     symbols = text_symbols(F.col(text), tokenizer.eos)
-    merged = apply_merges(symbols, tokenizer.merges, tokenizer.reuses_tokens())
-    ids = symbol_ids(F.replace(merged, F.lit(WORD_BREAK), F.lit("")))
+    ids = token_ids(symbols, tokenizer.merges, tokenizer.reuses_tokens())
     return texts.withColumn(name, ids).drop(text)
 
 
