@@ -76,7 +76,7 @@ def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks as a written table, since packing scans them several times."""
     chunks = byte_chunks(spark, sf_dir).select("story_id", "chunk_no", "length", "input_ids")
-    return spread(materialize(chunks, "chunks"))
+    return pack.with_ids(spread(materialize(pack.as_symbols(chunks), "chunks")))
 
 
 def byte_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,11 +331,21 @@ def step_plan(spark, sf_dir):
     return batches.step_plan(batch_plan(spark, sf_dir), TRAINING)
 
 
+def written_split_chunks(chunks: DataFrame) -> DataFrame:
+    chunks = chunks.select("split", "story_id", "chunk_no", "length", "input_ids")
+    return pack.with_ids(materialize(pack.as_symbols(chunks), "chunks"))
+
+
 def split_chunks(spark, sf_dir) -> DataFrame:
     """Byte chunks of the distinct stories with their split."""
     rows = records(spark, sf_dir).withColumn("text", F.replace("text", F.lit(EOS), F.lit("")))
-    chunks = tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length)
-    return materialize(chunks.select("split", "story_id", "chunk_no", "length", "input_ids"), "chunks")
+    return tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length)
+
+
+def narrow_split_chunks(spark, sf_dir) -> DataFrame:
+    """Places and lengths of ``split_chunks``, which is all that plans need."""
+    rows = split_chunks(spark, sf_dir).select("split", "story_id", "chunk_no", "length")
+    return materialize(rows, "chunk-lengths")
 
 
 def split_block_rows(blocks: DataFrame) -> DataFrame:
@@ -345,16 +355,16 @@ def split_block_rows(blocks: DataFrame) -> DataFrame:
 def epoch_blocks(spark, sf_dir):
     """All blocks of the second epoch, packed anew under its seed."""
     cfg = PackConfig(seed=pack.epoch_seed(Q.seed, 1, reload=True, shuffle_data=True))
-    return split_block_rows(pack.pack_blocks(split_chunks(spark, sf_dir), cfg, by=("split",)))
+    return split_block_rows(pack.pack_blocks(written_split_chunks(split_chunks(spark, sf_dir)), cfg, by=("split",)))
 
 
 def train_steps(spark, sf_dir):
     cfg = PrepConfig(pack=PACK, training=TrainingConfig(max_steps=Q.many_steps))
-    return tokens.training_plan(split_chunks(spark, sf_dir), cfg)
+    return tokens.training_plan(narrow_split_chunks(spark, sf_dir), cfg)
 
 
 def valid_batches(spark, sf_dir):
-    return tokens.validation_plan(split_chunks(spark, sf_dir), PrepConfig(pack=PACK))
+    return tokens.validation_plan(narrow_split_chunks(spark, sf_dir), PrepConfig(pack=PACK))
 
 
 def next_token_pairs(spark, sf_dir):
@@ -371,8 +381,7 @@ def corpus_chunks(spark, sf_dir) -> DataFrame:
     rows = corpus.story_records(spread(chosen), CORPUS)
     texts = rows.where(F.col("split") == "train").select("text")
     tokenizer = bpe.train(bpe.word_counts(texts), Q.vocab_size)
-    chunks = tokens.tokenized_chunks(rows, tokenizer, PACK.context_length)
-    return materialize(chunks, "chunks")
+    return written_split_chunks(tokens.tokenized_chunks(rows, tokenizer, PACK.context_length))
 
 
 def corpus_to_blocks(spark, sf_dir):

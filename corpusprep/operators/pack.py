@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.config import PackConfig
+from corpusprep.functions.bytelevel import id_symbols, symbol_ids
 from corpusprep.operators.index import MAX_BUCKET_BITS, int_div, running_total, shuffle_order
 
 SEGMENT_ROWS = 4096
@@ -129,6 +130,18 @@ def block_pieces(
     )
 
 
+def as_symbols(chunks: DataFrame) -> DataFrame:
+    """Tokens as strings in ``symbols``: they are moved and written at a byte or two each."""
+    if "symbols" in chunks.columns:
+        return chunks.drop("input_ids")
+    return chunks.withColumn("symbols", id_symbols(F.col("input_ids"))).drop("input_ids")
+
+
+def with_ids(chunks: DataFrame) -> DataFrame:
+    """``input_ids`` of the tokens in ``symbols``."""
+    return chunks.withColumn("input_ids", symbol_ids(F.col("symbols")))
+
+
 def pack_blocks(
     chunks: DataFrame,
     cfg: PackConfig,
@@ -146,14 +159,15 @@ def pack_blocks(
         limit, chosen = cfg.row_limit, wanted
         wanted = lambda b: (b < limit) & (chosen(b) if chosen else F.lit(True))
     pieces = block_pieces(chunks, cfg, by, wanted)
-    payload = chunks.select(*by, "story_id", "chunk_no", "input_ids")
-    cut = F.slice("input_ids", (F.col("skip") + 1).cast("int"), F.col("take").cast("int"))
+    payload = as_symbols(chunks).select(*by, "story_id", "chunk_no", "symbols")
+    cut = F.substring("symbols", (F.col("skip") + 1).cast("int"), F.col("take").cast("int"))
     block = [*by, "block_id", "group_id", "block_no"]
     rows = payload.join(pieces, [*by, "story_id", "chunk_no"]).select(
         *block, F.struct("at", cut.alias("ids")).alias("piece")
     )
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"]))
-    return rows.groupBy(*block).agg(joined.alias("input_ids"))
+    pieces_in_order = F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["ids"])
+    whole = rows.groupBy(*block).agg(F.array_join(pieces_in_order, "").alias("symbols"))
+    return with_ids(whole).drop("symbols")
 
 
 def block_ids(chunks: DataFrame, cfg: PackConfig, by: tuple[str, ...] = ()) -> DataFrame:
