@@ -20,7 +20,8 @@ UNCHANGED = (
 
 
 def is_plain(text: Column) -> Column:
-    return text.rlike(UNCHANGED)
+    """Whether normalisation leaves a text as it is; ASCII is seen by its length alone."""
+    return (F.octet_length(text) == F.length(text)) | text.rlike(UNCHANGED)
 
 
 def nfkc(text: Column) -> Column:

@@ -36,9 +36,10 @@ def story_records(stories: DataFrame, cfg: CorpusConfig) -> DataFrame:
     A line equal to the marker ends a story; what follows it is a story of its own,
     whose id is taken from a digest of the first one's id and the part.
     """
-    parts = stories.withColumn("_parts", marked_parts(F.col("text"), cfg.keep_empty))
     others = [F.col(c) for c in stories.columns if c not in ("story_id", "text")]
-    cut = parts.select("story_id", *others, F.posexplode("_parts").alias("_no", "_lines"))
+    # Not a column first: Spark would filter on it below, and so clean every text twice.
+    parts = F.posexplode(marked_parts(F.col("text"), cfg.keep_empty)).alias("_no", "_lines")
+    cut = stories.select("story_id", *others, parts)
     digest = F.conv(F.substring(F.md5(F.concat_ws(":", "story_id", "_no")), 1, 15), 16, 10).cast("bigint")
     story_id = F.when(F.col("_no") == 0, F.col("story_id")).otherwise(digest)
     records = cut.select(story_id.alias("story_id"), *others, story_record(F.col("_lines")).alias("text"))
