@@ -67,15 +67,15 @@ def joined(ids: str):
     return F.array_join(ids, ",").alias(ids)
 
 
-def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_chunks(spark: SparkSession, sf_dir: str, as_symbols: bool = False) -> DataFrame:
     """Chunks under the vocabulary without merges, one token per byte."""
     rows = raw(spark, sf_dir).select("story_id", "text")
-    return tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length)
+    return tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length, as_symbols)
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks as a written table, since packing scans them several times."""
-    chunks = byte_chunks(spark, sf_dir).select("story_id", "chunk_no", "length", "input_ids")
+    chunks = byte_chunks(spark, sf_dir, as_symbols=True).select("story_id", "chunk_no", "length", "symbols")
     return pack.with_ids(spread(materialize(pack.as_symbols(chunks), "chunks")))
 
 
@@ -313,7 +313,7 @@ def block_lookup(spark, sf_dir):
 
 def narrow_chunks(spark, sf_dir) -> DataFrame:
     """Places and lengths of the byte chunks, without their tokens."""
-    rows = byte_chunks(spark, sf_dir).select("story_id", "chunk_no", "length")
+    rows = byte_chunks(spark, sf_dir, as_symbols=True).select("story_id", "chunk_no", "length")
     return materialize(rows, "chunk-lengths")
 
 
@@ -332,14 +332,14 @@ def step_plan(spark, sf_dir):
 
 
 def written_split_chunks(chunks: DataFrame) -> DataFrame:
-    chunks = chunks.select("split", "story_id", "chunk_no", "length", "input_ids")
+    chunks = chunks.select("split", "story_id", "chunk_no", "length", "symbols")
     return pack.with_ids(materialize(pack.as_symbols(chunks), "chunks"))
 
 
 def split_chunks(spark, sf_dir) -> DataFrame:
     """Byte chunks of the distinct stories with their split."""
     rows = records(spark, sf_dir).withColumn("text", F.replace("text", F.lit(EOS), F.lit("")))
-    return tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length)
+    return tokens.tokenized_chunks(rows, Tokenizer(), PACK.context_length, as_symbols=True)
 
 
 def narrow_split_chunks(spark, sf_dir) -> DataFrame:
@@ -381,7 +381,7 @@ def corpus_chunks(spark, sf_dir) -> DataFrame:
     rows = corpus.story_records(spread(chosen), CORPUS)
     texts = rows.where(F.col("split") == "train").select("text")
     tokenizer = bpe.train(bpe.word_counts(texts), Q.vocab_size)
-    return written_split_chunks(tokens.tokenized_chunks(rows, tokenizer, PACK.context_length))
+    return written_split_chunks(tokens.tokenized_chunks(rows, tokenizer, PACK.context_length, as_symbols=True))
 
 
 def corpus_to_blocks(spark, sf_dir):

@@ -53,6 +53,11 @@ def segment_symbols(segment: Column) -> Column:
     )
 
 
-def join_segments(parts: Column) -> Column:
+def unbroken_symbols(segment: Column) -> Column:
+    """``segment_symbols`` without the breaks; every character lies in a word, so none is looked for."""
+    return F.when(segment == "", "").otherwise(byte_symbols(with_prefix_space(segment)))
+
+
+def join_segments(parts: Column, word_break: str = WORD_BREAK) -> Column:
     """Segments' symbols with the end-of-story symbol back between them."""
-    return F.array_join(parts, WORD_BREAK + EOS_SYMBOL + WORD_BREAK)
+    return F.array_join(parts, word_break + EOS_SYMBOL + word_break)

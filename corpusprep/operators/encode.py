@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.functions.bytelevel import EOS_ID
+from corpusprep.functions.bytelevel import EOS_ID, WORD_BREAK
 from corpusprep.functions.normalize import nfkc_parts
-from corpusprep.functions.pretokenize import join_segments, segment_symbols, segments
-from corpusprep.operators.bpe import Tokenizer, token_ids, vocab_table
-
-
-def text_symbols(text: Column, eos: str) -> Column:
-    """A text as byte symbols with word breaks; end markers become one symbol."""
-    parts = nfkc_parts(text, segments(text, eos))
+from corpusprep.functions.pretokenize import (
+    join_segments,
+    segment_symbols,
+    segments,
+    unbroken_symbols,
+)
+from corpusprep.operators.bpe import Tokenizer, apply_merges, token_ids, vocab_table
+
+
+def text_symbols(text: Column, tokenizer: Tokenizer) -> Column:
+    """A text as byte symbols; end markers become one symbol.
+
+    Words are set apart by word breaks if there are merges, which stay inside words.
+    """
+    parts = nfkc_parts(text, segments(text, tokenizer.eos))
+    if not tokenizer.merges:
+        return join_segments(F.transform(parts, unbroken_symbols), "")
     return join_segments(F.transform(parts, segment_symbols))
 
 
@@ -21,11 +31,22 @@ def encode(
     texts: DataFrame, tokenizer: Tokenizer, text: str = "text", name: str = "input_ids"
 ) -> DataFrame:
     """Replace the text column by token ids, row by row where the rows are."""
-    symbols = text_symbols(F.col(text), tokenizer.eos)
+    symbols = text_symbols(F.col(text), tokenizer)
     ids = token_ids(symbols, tokenizer.merges, tokenizer.reuses_tokens())
     return texts.withColumn(name, ids).drop(text)
 
 
+def encode_symbols(
+    texts: DataFrame, tokenizer: Tokenizer, text: str = "text", name: str = "symbols"
+) -> DataFrame:
+    """``encode`` with the tokens as a string, a character each; no array is built."""
+    symbols = text_symbols(F.col(text), tokenizer)
+    if tokenizer.merges:
+        merged = apply_merges(symbols, tokenizer.merges, tokenizer.reuses_tokens())
+        symbols = F.replace(merged, F.lit(WORD_BREAK), F.lit(""))
+    return texts.withColumn(name, symbols).drop(text)
+
+
 def decode(
     rows: DataFrame,
     tokenizer: Tokenizer,
@@ -63,9 +84,21 @@ def chunk_tokens(rows: DataFrame, context_length: int, ids: str = "input_ids") -
     return rows.select(*others, F.posexplode(pieces).alias("chunk_no", ids))
 
 
+def chunk_symbols(rows: DataFrame, context_length: int, symbols: str = "symbols") -> DataFrame:
+    """``chunk_tokens`` for tokens that are a string."""
+    whole = F.col(symbols)
+    cut = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{context_length}}}"), F.lit(0))
+    pieces = F.when(whole != "", cut).otherwise(F.array(whole))
+    others = [c for c in rows.columns if c != symbols]
+    return rows.select(*others, F.posexplode(pieces).alias("chunk_no", symbols))
+
+
 def chunk_features(chunks: DataFrame) -> DataFrame:
-    """Add segment ids, attention mask, length and the source-text number."""
-    length = F.size("input_ids")
+    """Add segment ids, attention mask, length and the source-text number.
+
+    Tokens are in ``input_ids``, or in ``symbols`` as a string.
+    """
+    length = F.length("symbols") if "symbols" in chunks.columns else F.size("input_ids")
     return chunks.select(
         *chunks.columns,
         F.array_repeat(F.lit(0).cast("bigint"), length).alias("token_type_ids"),

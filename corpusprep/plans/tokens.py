@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from corpusprep.config import SPLITS, CorpusConfig, PackConfig, PrepConfig, TokenizerConfig
 from corpusprep.operators.batches import batch_plan, epoch_positions, epochs_for, step_plan
 from corpusprep.operators.bpe import Tokenizer, train, word_counts
-from corpusprep.operators.encode import chunk_features, chunk_tokens, encode
+from corpusprep.operators.encode import (
+    chunk_features,
+    chunk_symbols,
+    chunk_tokens,
+    encode,
+    encode_symbols,
+)
 from corpusprep.operators.index import first_stories
 from corpusprep.operators.pack import block_ids, pack_blocks
 from corpusprep.operators.segment import segment_stories
@@ -29,8 +35,15 @@ def train_tokenizer(stories: DataFrame, cfg: TokenizerConfig) -> Tokenizer:
     return train(word_counts(texts), cfg.vocab_size, cfg.eos_token)
 
 
-def tokenized_chunks(stories: DataFrame, tokenizer: Tokenizer, context_length: int) -> DataFrame:
-    """Stories as token chunks with their features; one pass, no shuffle."""
+def tokenized_chunks(
+    stories: DataFrame, tokenizer: Tokenizer, context_length: int, as_symbols: bool = False
+) -> DataFrame:
+    """Stories as token chunks with their features; one pass, no shuffle.
+
+    ``as_symbols`` gives the tokens in ``symbols``, as packing moves them.
+    """
+    if as_symbols:
+        return chunk_features(chunk_symbols(encode_symbols(stories, tokenizer), context_length))
     return chunk_features(chunk_tokens(encode(stories, tokenizer), context_length))
 
 
