@@ -34,6 +34,7 @@ FREQUENT = 1 << 14  # a word of more than this part of all words may be dealt ov
 WORD_BYTES = 5  # of a word's hash in the table of lines
 PART_WORDS = 10_000_000  # words of the input for each group of postings
 FLUSH = 300_000  # postings that a task sorts before it sends them
+PAIRS = 1 << 16  # pairs of postings that a task compares at once
 MOST_WIDTH = 64  # 64-bit words of a signature at most
 SLICE_LINES = 1 << 13  # a word that more lines may hold has its lines dealt over slices
 GUEST, SLICED = 1, 2
@@ -398,7 +399,7 @@ class Group(NamedTuple):
 
     c: dict[str, np.ndarray]
     folded: Folded
-    last: np.ndarray  # behind the postings of the same word whose sizes can be similar
+    last: np.ndarray  # behind the postings of the same word that can share it as first word
 
 
 def group_of(table: pa.Table, similarity: tuple[int, int]) -> Group:
@@ -409,18 +410,19 @@ def group_of(table: pa.Table, similarity: tuple[int, int]) -> Group:
     start = np.concatenate(([0], np.cumsum(widths(c["sizes"].astype(np.int64)))))
     folded = Folded(marks[spread_out(start, order)], c["sizes"][order].astype(np.int64))
     c = {n: v[order] for n, v in c.items()}
-    key = (c["tokens"].astype(np.uint64) << np.uint64(32)) | c["sizes"]
-    most = (c["tokens"].astype(np.uint64) << np.uint64(32)) | (c["sizes"].astype(np.int64) * den // num).astype(np.uint64)
-    return Group(c, folded, np.searchsorted(key, most, "right"))
+    token = c["tokens"].astype(np.uint64) << np.uint64(32)
+    most = np.maximum(0, (den * c["sizes"].astype(np.int64) - (num + den) * c["places"].astype(np.int64)) // num)
+    return Group(c, folded, np.searchsorted(token | c["sizes"], token | most.astype(np.uint64), "right"))
 
 
 def passing_pairs(group: Group, similarity: tuple[int, int], asked: np.ndarray | None = None):
     """Batches of (later, earlier, excess): pairs of a word's postings that pass all filters.
 
-    The filters are bounds that no similar pair fails: sizes, the places of the
-    shared word, and the bits in which the signatures differ. Equal sets are left to
-    the exact step. A guest is only ever the later one. With ``asked`` only pairs
-    whose later line is marked there are tried.
+    The filters are bounds that no similar pair fails at the first word that it shares,
+    where all that it shares is still to come: sizes, the places of the word, and the
+    bits in which the signatures differ. Equal sets are left to the exact step. A guest
+    is only ever the later one. With ``asked`` only pairs whose later line is marked
+    there are tried.
     """
     num, den = similarity
     c = group.c
@@ -430,10 +432,13 @@ def passing_pairs(group: Group, similarity: tuple[int, int], asked: np.ndarray |
     step = 1
     left = np.flatnonzero(group.last > np.arange(len(size)) + step)
     while len(left):
-        i, j = left, left + step
+        steps = max(1, PAIRS // len(left))
+        count = np.minimum(group.last[left] - left - step, steps)
+        i = np.repeat(left, count)
+        j = i + step + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         a, b = size[i], size[j]
         need = -(-num * (a + b) // (num + den))
-        good = np.minimum(place[i], place[j]) + 1 + np.minimum(a - place[i], b - place[j]) - 1 >= need
+        good = np.minimum(a - place[i], b - place[j]) >= need
         i, j, need = i[good], j[good], need[good]
         first = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
         y, x = np.where(first, j, i), np.where(first, i, j)
@@ -447,7 +452,7 @@ def passing_pairs(group: Group, similarity: tuple[int, int], asked: np.ndarray |
         good = (excess <= 0) & ~equal
         if good.any():
             yield y[good], x[good], excess[good]
-        step += 1
+        step += steps
         left = left[group.last[left] > left + step]
 
 
@@ -462,7 +467,7 @@ def candidates_of(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
     hits, nearest = np.zeros(count, np.int64), np.full(count, -1)
     distance = np.full(count, np.iinfo(np.int64).max)
     for y, x, excess in passing_pairs(group, similarity):
-        order = np.lexsort((excess, y))  # a line can be in a batch twice
+        order = np.lexsort((excess, y))  # a line can be in a batch many times
         y, x, excess = y[order], x[order], excess[order]
         np.add.at(hits, y, 1)
         best = np.r_[True, y[1:] != y[:-1]]
