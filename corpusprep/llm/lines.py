@@ -41,7 +41,7 @@ GUEST, SLICED = 1, 2
 
 KINDS = {"tokens": "<u4", "docs": "<i8", "lines": "<u4", "sizes": "<u4", "places": "<u4", "checks": "<u4", "flags": "<u1"}
 POSTINGS = "part bigint, marks binary, " + ", ".join(f"{name} binary" for name in KINDS)
-CANDIDATES = "doc bigint, line bigint, other_doc bigint, other_line bigint, more boolean"
+CANDIDATES = "doc bigint, line bigint, other_doc bigint, other_line bigint, more boolean, sliced boolean"
 LINES = "doc bigint, line bigint, ver bigint, hash bigint, words binary, slice int, count bigint"
 
 
@@ -459,8 +459,8 @@ def passing_pairs(group: Group, similarity: tuple[int, int], asked: np.ndarray |
 def candidates_of(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
     """For every line at a rare word the earlier line there whose signature is nearest.
 
-    ``more`` says that others pass as well; a line in a slice of a word has it in any
-    case, for the other slices, and a row without another line if none passes.
+    ``more`` says that others pass as well. A line in a slice of a word has ``sliced`` in
+    any case, for the other slices, and a row without another line if none passes.
     """
     group = group_of(table, similarity)
     c, count = group.c, len(group.last)
@@ -483,7 +483,8 @@ def candidates_of(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
             "line": pa.array(c["lines"][y].astype(np.int64)),
             "other_doc": pa.array(c["docs"][x], mask=x < 0),
             "other_line": pa.array(c["lines"][x].astype(np.int64), mask=x < 0),
-            "more": pa.array((hits[y] > 1) | sliced[y]),
+            "more": pa.array((hits[y] > 1) & ~sliced[y]),
+            "sliced": pa.array(sliced[y]),
         }
     )
 
@@ -599,8 +600,9 @@ def similar_lines(table: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
     The first round tries one candidate of a line at each of its rare words. Lines whose
     candidates all fail and that have more are then compared with all the others
-    inside their words' groups: only the lines in pairs that pass the filters are
-    sent there with their words, once per word, whatever the number of pairs.
+    inside their words' groups, those that have more in other slices only inside the
+    sliced words' groups: only the lines in pairs that pass the filters are sent there
+    with their words, once per word, whatever the number of pairs.
     """
     lines = table.where("doc is not null")
     rank, slices, words = word_ranks(table)
@@ -611,13 +613,13 @@ def similar_lines(table: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     rows = posted.groupBy("part").applyInArrow(lambda group: candidates_of(group, similarity), CANDIDATES)
     rows = materialize(rows, "candidates")
     similar = materialize(verified(lines, rows, similarity), "similar")
-    again = rows.where("more").select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti")
-    again = materialize(again, "again")
+    again = rows.where("more or sliced").groupBy("doc", "line").agg(F.bool_or("more").alias("more"))
+    again = materialize(again.join(similar, ["doc", "line"], "left_anti"), "again")
     if again.isEmpty():
         return similar
     marks = line_map(again)
     asked = lines.sparkSession.sparkContext.broadcast(marks)
-    rare = rare_words(lines, marks, rank, similarity)
+    rare = rare_words(lines, marks, line_map(again.where("more")), rank, slices, similarity)
     posted = postings(lines, rank, slices, levels, similarity, rare, marks)
     some = posted.groupBy("part").applyInArrow(lambda group: involved(group, similarity, asked.value), INVOLVED)
     some = materialize(some, "involved")
@@ -694,18 +696,24 @@ def matched_in_groups(similarity: tuple[int, int]):
     return match
 
 
-def rare_words(lines: DataFrame, asked: bytes, rank: np.ndarray, similarity: tuple[int, int]) -> bytes:
-    """A map of the prefix words of the lines asked for."""
-    shared = lines.sparkSession.sparkContext.broadcast((rank, asked))
+def rare_words(
+    lines: DataFrame, asked: bytes, whole: bytes, rank: np.ndarray, slices: dict[int, int], similarity: tuple[int, int]
+) -> bytes:
+    """A map of the prefix words of the lines asked for, sliced ones only if a line is not in ``whole``."""
+    frequent = np.array(sorted(slices), np.uint64)
+    shared = lines.sparkSession.sparkContext.broadcast((rank, asked, whole))
 
     def take(batches):
         for batch in batches:
-            ranks, marks = shared.value
+            ranks, marks, all_words = shared.value
             mine = batch.filter(pa.array(in_map(marks, line_hash(batch["doc"].to_numpy(), batch["line"].to_numpy()))))
             words, first = sorted_lines(mine, ranks)
             count = prefix_sizes(np.diff(first), similarity)
             place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(mix(words[np.repeat(first[:-1], count) + place]).view(np.int64))})
+            word = words[np.repeat(first[:-1], count) + place]
+            every = in_map(all_words, line_hash(mine["doc"].to_numpy(), mine["line"].to_numpy()))
+            word = word[np.repeat(every, count) | np.isin(word, frequent)]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(mix(word).view(np.int64))})
 
     return hash_map(lines.select("doc", "line", "words").mapInArrow(take, "h bigint"), "h")
 
