@@ -16,6 +16,7 @@ from corpusprep.llm.common import (
     in_map,
     inside_text,
     plain_borders,
+    small_batches,
     texts_of,
     words_of,
 )
@@ -36,7 +37,7 @@ def seeds_of(items: DataFrame) -> DataFrame:
     """``item_id``, ``place``, ``seed`` and ``words`` for every run of ``TILE_WORDS`` words."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             hashes, first, whole = normalised(batch["text"])
             seeds = gram_hashes(hashes, TILE_WORDS)
             at = np.flatnonzero(whole)
@@ -54,6 +55,24 @@ def seeds_of(items: DataFrame) -> DataFrame:
     return items.mapInArrow(cut, f"item_id {kind}, place bigint, words bigint, seed bigint")
 
 
+def known_seeds(batches, marks: bytes):
+    """``doc`` and ``seed`` for the different runs of ``TILE_WORDS`` words that the map has."""
+    for batch in small_batches(batches):
+        hashes, first, whole = normalised(batch["text"])
+        at = np.flatnonzero(whole)
+        found = gram_hashes(hashes, TILE_WORDS)[at]
+        known = in_map(marks, found)
+        at, found = at[known], found[known]
+        row = np.searchsorted(first, at, "right") - 1
+        pairs = np.unique(np.column_stack([row.astype(np.uint64), found]), axis=0)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc": batch["doc"].take(pa.array(pairs[:, 0].astype(np.int64))),
+                "seed": pa.array(pairs[:, 1].copy().view(np.int64)),
+            }
+        )
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = TILE_WORDS) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in document, length) of the tiles.
 
@@ -120,24 +139,8 @@ def contaminated(
     seeds = materialize(seeds_of(items.select(F.col("item").alias("item_id"), "text").distinct()), "seeds")
     marks = docs.sparkSession.sparkContext.broadcast(hash_map(seeds, "seed"))
 
-    def hits(batches):
-        for batch in batches:
-            hashes, first, whole = normalised(batch["text"])
-            at = np.flatnonzero(whole)
-            found = gram_hashes(hashes, TILE_WORDS)[at]
-            known = in_map(marks.value, found)
-            at, found = at[known], found[known]
-            row = np.searchsorted(first, at, "right") - 1
-            pairs = np.unique(np.column_stack([row.astype(np.uint64), found]), axis=0)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc": batch["doc"].take(pa.array(pairs[:, 0].astype(np.int64))),
-                    "seed": pa.array(pairs[:, 1].copy().view(np.int64)),
-                }
-            )
-
     hashed = docs.withColumn("doc", F.xxhash64("text"))
-    shared = hashed.select("doc", "text").mapInArrow(hits, "doc bigint, seed bigint").distinct()
+    shared = hashed.select("doc", "text").mapInArrow(lambda b: known_seeds(b, marks.value), "doc bigint, seed bigint").distinct()
     places = shared.join(seeds, "seed").select("doc", "item_id", "place", "words")
     reach = F.array_sort(F.collect_set("place"))
     covered = F.aggregate(
@@ -155,7 +158,7 @@ def contaminated(
     asked = near.join(item_texts, "item")
 
     def tile(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             a, first_a, _ = normalised(batch["item_text"])
             b, first_b, _ = normalised(batch["text"])
             rows = []

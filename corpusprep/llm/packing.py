@@ -11,12 +11,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.functions.bytelevel import PRINTED
-from corpusprep.llm.common import documents, from_planes, planes
+from corpusprep.llm.common import documents, from_planes, planes, small_batches
 from corpusprep.sources.scratch import materialize
 
 SEQUENCE_TOKENS = 1024
@@ -175,20 +176,25 @@ def token_table(docs: DataFrame, model: str) -> DataFrame:
     def encode(batches):
         part, given = TaskContext.get().partitionId(), {}
         encode_one = encoder(model).encode
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                rows = []
-                for doc_id, source, text in zip(some["doc_id"], some["source"], some["text"]):
-                    ids = np.append(encode_one(text or ""), np.uint32(END_ID))
-                    source = None if pd.isna(source) else source
-                    start = given.get(source, 0)
-                    given[source] = start + len(ids)
-                    rows.append((doc_id, source, part, start, len(ids), planes(ids)))
-                yield pd.DataFrame(rows, columns=["doc_id", "source", "part", "start", "n", "ids"])
+        for batch in small_batches(batches):
+            starts, ids = [], []
+            for source, text in zip(batch["source"].to_pylist(), batch["text"]):
+                ids.append(np.append(encode_one(text.as_py() or ""), np.uint32(END_ID)))
+                starts.append(given.get(source, 0))
+                given[source] = starts[-1] + len(ids[-1])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch["doc_id"],
+                    "source": batch["source"],
+                    "part": pa.array([part] * len(ids), pa.int32()),
+                    "start": pa.array(starts, pa.int64()),
+                    "n": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids": pa.array([planes(x) for x in ids], pa.binary()),
+                }
+            )
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, source string, part int, start bigint, n bigint, ids binary"
-    return materialize(docs.mapInPandas(encode, schema), "tokens")
+    return materialize(docs.mapInArrow(encode, schema), "tokens")
 
 
 def pack(
