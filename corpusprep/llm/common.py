@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +15,7 @@ from corpusprep.sources.scratch import materialize
 
 NULL_ID = -(2**63)  # stands for a null id inside arrays; sorts before every other id
 CHUNK_BYTES = 1 << 20
+WORD_CHUNK = 1 << 18  # bytes that are cut into words at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,30 +134,37 @@ def chunks(bounds: np.ndarray, size: int = CHUNK_BYTES):
         at = to
 
 
+@cache
+def places_of_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse for the places in ``WORD_CHUNK`` bytes."""
+    return powers(BASE, WORD_CHUNK), powers(inverse(BASE), WORD_CHUNK)
+
+
 def words_of(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = SPACE) -> Words:
     """Split rows at separator bytes and hash every word by a polynomial of its bytes."""
-    starts, ends, hashes, counts = [], [], [], [np.zeros(1, np.int64)]
-    for a, b in chunks(bounds):
+    starts, ends, hashes, counts, found = [], [], [], [np.zeros(1, np.int64)], 0
+    for a, b in chunks(bounds, WORD_CHUNK):
         lo, hi = int(bounds[a]), int(bounds[b])
         part = data[lo:hi]
-        inside = ~separator[part]
-        edge = np.zeros(len(part) + 1, bool)
-        edge[bounds[a : b + 1] - lo] = True
-        first = inside.copy()
-        first[1:] &= separator[part[:-1]] | edge[1:-1]
-        last = inside.copy()
-        last[:-1] &= separator[part[1:]] | edge[1:-1]
-        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        inside = np.zeros(len(part) + 2, bool)
+        inside[1:-1] = ~separator[part]
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        s, e = turns[::2], turns[1::2]
+        edge = np.unique(bounds[a + 1 : b] - lo)
+        edge = edge[inside[edge] & inside[edge + 1]]  # a word ends and another starts
+        if len(edge):
+            s, e = (np.sort(np.concatenate([x, edge]), kind="stable") for x in (s, e))
         if len(s):
-            length = e - s
-            at = np.flatnonzero(inside)
-            begin = np.concatenate(([0], np.cumsum(length)[:-1]))
-            values = BYTE_VALUE[part[at]]
-            values *= powers(BASE, int(length.max()))[at - np.repeat(s, length)]
-            hashes.append(mix(np.add.reduceat(values, begin) + length.astype(np.uint64)))
+            power, back = places_of_bytes()
+            if len(part) > WORD_CHUNK:
+                power, back = powers(BASE, len(part)), powers(inverse(BASE), len(part))
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(BYTE_VALUE[part] * power[: len(part)], out=total[1:])
+            hashes.append(mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)))
         starts.append(s + lo)
         ends.append(e + lo)
-        counts.append(np.searchsorted(s, bounds[a + 1 : b + 1] - lo) + sum(map(len, starts[:-1])))
+        counts.append(np.searchsorted(s, bounds[a + 1 : b + 1] - lo) + found)
+        found += len(s)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return Words(join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64), np.concatenate(counts))
 
@@ -178,12 +187,19 @@ def inside_text(first: np.ndarray, n: int, total: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """Bytes of equal significance together, which shuffle compression shortens."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    each = values.view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    out = np.empty(each.shape[::-1], np.uint8)
+    for k in range(len(out)):
+        out[k] = each[:, k]
+    return out.tobytes()
 
 
 def from_planes(blob: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.frombuffer(blob, np.uint8).reshape(width, -1).T.copy().reshape(-1).view(kind)
+    out = np.empty((len(blob) // width, width), np.uint8)
+    for k, plane in enumerate(np.frombuffer(blob, np.uint8).reshape(width, len(out))):
+        out[:, k] = plane
+    return out.reshape(-1).view(kind)
 
 
 MAP_BITS = 24

@@ -346,7 +346,7 @@ def posted(waiting: list, level: int, levels: int) -> pa.RecordBatch:
     """Postings by ranges of the word's hash, a row each; its last 32 bits go along in the end."""
     c = {n: np.concatenate([x[n] for x, _ in waiting]) for n in KINDS}
     marks = np.concatenate([m for _, m in waiting])
-    order = np.argsort(c["tokens"], kind="stable")
+    order = np.argsort(c["tokens"])
     start = np.concatenate(([0], np.cumsum(widths(c["sizes"].astype(np.int64)))))
     c = {n: v[order] for n, v in c.items()}
     marks = marks[spread_out(start, order)]
